@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["features"]
+MODULES = ["features", "activity"]
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:

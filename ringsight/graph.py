@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # One total order over edges. edge_id alone may repeat, so ties fall back on the whole row;
 # rows equal in all five columns are interchangeable.
@@ -18,6 +18,8 @@ class FraudGraph:
 
     nodes: DataFrame
     edges: DataFrame
+    # Splits whose labels a feature may look at; None for all (evaluation of leaked variants).
+    label_splits: tuple[str, ...] | None = ("train",)
 
     @property
     def feature_names(self) -> list[str]:
@@ -30,6 +32,12 @@ class FraudGraph:
     def ids(self) -> DataFrame:
         return self.nodes.select("node_id")
 
+    def labelled(self, condition: Column) -> DataFrame:
+        """Nodes that satisfy a condition on ``label``, as far as their label may be used."""
+        if self.label_splits is not None:
+            condition = condition & F.col("split").isin(*self.label_splits)
+        return self.nodes.where(condition)
+
     def neighbours(self) -> DataFrame:
         """Distinct undirected pairs ``(node, nbr)``; a self loop gives one pair."""
         e = self.edges.select("src", "dst")

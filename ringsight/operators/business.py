@@ -95,7 +95,7 @@ def background_links(graph: FraudGraph) -> DataFrame:
 
 def risk_accumulation(graph: FraudGraph) -> DataFrame:
     """Out-edges, last day, distinct fraud targets and their ratio over the edges plus one."""
-    fraud = graph.nodes.where(F.col("label") == 1).select(F.col("node_id").alias("dst"), F.lit(1).alias("hit"))
+    fraud = graph.labelled(F.col("label") == 1).select(F.col("node_id").alias("dst"), F.lit(1).alias("hit"))
     pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"))
     stats = pairs.join(fraud, "dst", "left").groupBy(F.col("src").alias("node")).agg(
         F.sum("n").alias("biz_total_transactions"), F.max("ts").alias("biz_last_activity"),

@@ -213,17 +213,16 @@ def activity_span(graph: FraudGraph) -> DataFrame:
 
 def linked_counts(graph: FraudGraph, marked: Column, names: dict[str, str]) -> DataFrame:
     """Edges to (``out``) and from (``in``) the nodes that satisfy ``marked``."""
-    targets = graph.nodes.where(marked).select(F.col("node_id").alias("nbr"))
+    targets = graph.labelled(marked).select(F.col("node_id").alias("nbr"))
     hits = endpoints(graph.edges).join(targets, "nbr", "left_semi")
     return hits.groupBy("node").agg(
         F.count_if("is_out").alias(names["out"]), F.count_if(~F.col("is_out")).alias(names["in"])
     )
 
 
-def fraud_neighbours(graph: FraudGraph, label: Column | None = None) -> DataFrame:
+def fraud_neighbours(graph: FraudGraph) -> DataFrame:
     """Edges to and from label-1 nodes, and their ratio over the out-edges plus one."""
-    marked = F.col("label") == 1 if label is None else label
-    links = linked_counts(graph, marked, {"out": "enh_fraud_neighbors_out", "in": "enh_fraud_neighbors_in"})
+    links = linked_counts(graph, F.col("label") == 1, {"out": "enh_fraud_neighbors_out", "in": "enh_fraud_neighbors_in"})
     size = graph.edges.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("_n"))
     rows = graph.attach(links.withColumnRenamed("node", "node_id"), size).fillna(0)
     return rows.withColumns({

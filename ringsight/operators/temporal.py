@@ -106,7 +106,7 @@ def type_ratio_7d(graph: FraudGraph, types=EDGE_TYPES, days: int = 7) -> DataFra
 
 def risk_neighbours(graph: FraudGraph) -> DataFrame:
     """Sum, max and mean of neighbours' labels, training split only (others count as 0)."""
-    known = graph.nodes.where((F.col("split") == "train") & (F.col("label") != 0)).select(
+    known = graph.labelled(F.col("label") != 0).select(
         F.col("node_id").alias("nbr"), F.col("label").cast("bigint").alias("risk")
     )
     # (node, neighbour) counts before the join: parallel edges are summed on the map side.

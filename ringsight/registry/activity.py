@@ -110,7 +110,7 @@ R.add("m11_activity_span", graph_query(enhanced.activity_span), settled(BASE, on
 
 def linked(cond, out, inn):
     return (f"links as (select node, sum(is_out) as {out}, sum(1-is_out) as {inn} from ends "
-            f"where nbr in (select node_id from nodes where {cond}) group by node)")
+            f"where nbr in (select node_id from nodes where split='train' and {cond}) group by node)")
 
 
 SIZE = "sizes as (select src, count(*) as n from edges group by src)"
@@ -134,8 +134,8 @@ R.add("b3_diversity", graph_query(business.diversity), settled(BASE, on_nodes(
 
 
 def second_fraud(key, other, side):
-    fan = f"fan_{side} as (select {key} as v, count(*) as hits from edges where {other} in (select node_id from nodes where label=1) group by {key})"
-    near = (f"hop_{side} as (select {key} as u, count(*) filter ({other} in (select node_id from nodes where label=1)) as hits, count(*) as n from edges group by {key})")
+    fan = f"fan_{side} as (select {key} as v, count(*) as hits from edges where {other} in (select node_id from nodes where split='train' and label=1) group by {key})"
+    near = (f"hop_{side} as (select {key} as u, count(*) filter ({other} in (select node_id from nodes where split='train' and label=1)) as hits, count(*) as n from edges group by {key})")
     far = f"far_{side} as (select h.{key} as u, sum(hits) as hits from hub_{key} h join fan_{side} f on f.v = h.{other} group by h.{key})"
     return [fan, near, far]
 
@@ -158,7 +158,7 @@ R.add("b7_background_links", graph_query(business.background_links), settled(
     BASE + [linked("label in (2,3)", "biz_bg_conn_out", "biz_bg_conn_in")],
     "select node_id, links.* exclude (node) from nodes left join links on links.node = node_id"))
 R.add("b8_risk_accumulation", graph_query(business.risk_accumulation), settled(
-    BASE + ["flagged as (select e.*, n.label from edges e join nodes n on n.node_id = e.dst)"], on_nodes(
+    BASE + ["flagged as (select e.*, case when n.split='train' then n.label end as label from edges e join nodes n on n.node_id = e.dst)"], on_nodes(
         "count(*) as biz_total_transactions, max(ts) as biz_last_activity, "
         "count(distinct dst) filter (label=1) as biz_cumulative_fraud_conn, "
         "count(distinct dst) filter (label=1)/(count(*)+1) as biz_fraud_conn_ratio", source="flagged", key="src")))

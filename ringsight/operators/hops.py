@@ -17,6 +17,7 @@ from ringsight.functions.ordered import column_quantiles
 from ringsight.functions.sampling import first_k, sample_k_per_key
 from ringsight.functions.scalars import SEED, seeded_hash
 from ringsight.graph import EDGE_COLUMNS, FraudGraph
+from ringsight.session import cut_lineage
 
 K = 15
 PAIR = ["node", "nbr"]
@@ -42,15 +43,13 @@ class Samples:
     def around(self) -> DataFrame:
         return undirected_sample(self.edges, self.k, self.seed)
 
-    def shared(self) -> "Samples":
-        """Keep the three samples for builders that run in the same session."""
-        for rows in (self.out, self.into, self.around):
-            rows.persist()
-        return self
-
-    def release(self) -> None:
-        for rows in (self.out, self.into, self.around):
-            rows.unpersist()
+    def written(self) -> "Samples":
+        """The same samples read back from the checkpoint folder, for many builders at once."""
+        kept = Samples(self.edges, self.k, self.seed)
+        kept.__dict__.update(
+            out=cut_lineage(self.out), into=cut_lineage(self.into), around=cut_lineage(self.around)
+        )
+        return kept
 
 
 def undirected_sample(edges: DataFrame, k: int, seed: int) -> DataFrame:
@@ -270,7 +269,8 @@ def hop_features(
 
 def all_hop_features(graph: FraudGraph, k: int = K, types: list[int] | None = None, names=tuple(BUILDERS)) -> DataFrame:
     """Every hop family next to each other, over shared samples."""
-    samples = Samples(graph.edges, k)
-    return graph.attach(*[
-        neighbour_stats(BUILDERS[name](samples, graph), graph, name, types) for name in names
-    ]).fillna(0.0)
+    graph = FraudGraph(cut_lineage(graph.nodes), cut_lineage(graph.edges), graph.label_splits)
+    samples = Samples(graph.edges, k).written()
+    families = [neighbour_stats(BUILDERS[name](samples, graph), graph, name, types) for name in names]
+    # Each family is written before they meet, so one lost executor never reruns all of them.
+    return graph.attach(*[cut_lineage(family) for family in families]).fillna(0.0)

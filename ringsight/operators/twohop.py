@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ringsight.session import cut_lineage
+
 HUB_THRESHOLD = 5000
 
 
@@ -36,12 +38,13 @@ def two_hop(first: DataFrame, second: DataFrame, threshold: int = HUB_THRESHOLD)
     size = second.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
     tagged = first.join(size, "v")
     # A node touches at most |edges| / threshold hubs, so the hub list of a node stays small.
-    signature = (
+    # Written once, since the parts below read it several times; mostly it is empty.
+    signature = cut_lineage(
         tagged.where(F.col("size") > threshold).groupBy("u")
         .agg(F.array_sort(F.collect_set("v")).alias("hubs"))
         .withColumn("sig", F.md5(F.array_join(F.col("hubs").cast("array<string>"), ",")))
     )
-    reach = (
+    reach = cut_lineage(
         signature.select("sig", "hubs").distinct()
         .select("sig", F.explode("hubs").alias("v")).join(second, "v").select("sig", "w").distinct()
     )

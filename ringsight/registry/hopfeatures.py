@@ -76,43 +76,46 @@ def sampled(spark, folder):
     return sample_k_per_key(graph.edges, ["src"], ["edge_id"], EDGE_COLUMNS, hops.K)
 
 
-K = hops.K
+def family_sql(k, chain_k):
+    two = lambda ctes, a, b, name: stats_sql(ctes + two_ctes(a, b, k), "two_k", name)
+    und = lambda ctes, source, name: stats_sql(ctes + und_ctes(source, k), "und_k", name)
+    inner = "inner_edges as (select * from edges where src in (select n from {0}) and dst in (select n from {0}))"
+    return {
+        "directed_1hop_out": stats_sql([out_cte(k)], "out_k", "directed_1hop_out"),
+        "directed_1hop_in": stats_sql([in_cte(k)], "in_k", "directed_1hop_in"),
+        "undirected_1hop": und([], "edges", "undirected_1hop"),
+        "directed_2hop_out": two([out_cte(k)], "out_k", "out_k", "directed_2hop_out"),
+        "directed_2hop_in": two([in_cte(k)], "in_k", "in_k", "directed_2hop_in"),
+        "undirected_2hop": two(und_ctes("edges", k), "und_k", "und_k", "undirected_2hop"),
+        "mixed_propagation": two([out_cte(k), in_cte(k)], "out_k", "in_k", "mixed_propagation"),
+        "recent_activity": und(
+            ["recent as (select * from edges where ts >= (select quantile_cont(ts, 0.7) from edges))"],
+            "recent", "recent_activity"),
+        "risk_cluster": und(
+            ["risky as (select node_id as n from nodes where f9 > (select quantile_cont(f9, 0.8) from nodes))",
+             inner.format("risky")], "inner_edges", "risk_cluster"),
+        "core_business": und(
+            ["deg as (select src as n, count(*) as d from edges group by src)",
+             "core as (select n from deg where d > (select quantile_cont(d, 0.8) from deg))", inner.format("core")],
+            "inner_edges", "core_business"),
+        "financial_hub": und(
+            ["deg as (select n, count(*) as d from (select src as n from edges union all select dst from edges) group by n)",
+             "hub as (select n from deg where d > (select quantile_cont(d, 0.85) from deg))",
+             "touching as (select * from edges where src in (select n from hub) or dst in (select n from hub))"],
+            "touching", "financial_hub"),
+        "transaction_chain": stats_sql([out_cte(chain_k)] + [
+            "chains as (select a.node, c.nbr, a.edge_type, (a.ts+b.ts+c.ts)/3 as ts, row_number() over (partition by a.node, c.nbr "
+            "order by a.edge_id, a.edge_type, a.ts, b.edge_id, b.ts, c.edge_id, c.ts) as r from out_k a join out_k b on a.nbr = b.node "
+            "join out_k c on b.nbr = c.node where a.node <> c.nbr)",
+            f"chain_k as (select * from (select node, nbr, edge_type, ts, row_number() over (partition by node order by {PAIR_HASH}) as rk "
+            f"from chains where r = 1) where rk <= {chain_k})"], "chain_k", "transaction_chain"),
+    }
+
+
+K, CHAIN_K = hops.K, 5
 R.add("h0_sample_k_per_key", sampled, f"with {EDGES} select {WHOLE} from {top('src', K)}")
-R.add("h1_directed_1hop_out", family("directed_1hop_out"), stats_sql([out_cte(K)], "out_k", "directed_1hop_out"))
-R.add("h2_directed_1hop_in", family("directed_1hop_in"), stats_sql([in_cte(K)], "in_k", "directed_1hop_in"))
-R.add("h3_undirected_1hop", family("undirected_1hop"), stats_sql(und_ctes("edges", K), "und_k", "undirected_1hop"))
-R.add("h4_directed_2hop_out", family("directed_2hop_out"),
-      stats_sql([out_cte(K)] + two_ctes("out_k", "out_k", K), "two_k", "directed_2hop_out"))
-R.add("h5_directed_2hop_in", family("directed_2hop_in"),
-      stats_sql([in_cte(K)] + two_ctes("in_k", "in_k", K), "two_k", "directed_2hop_in"))
-R.add("h6_undirected_2hop", family("undirected_2hop"),
-      stats_sql(und_ctes("edges", K) + two_ctes("und_k", "und_k", K), "two_k", "undirected_2hop"))
-R.add("h7_mixed_propagation", family("mixed_propagation"),
-      stats_sql([out_cte(K), in_cte(K)] + two_ctes("out_k", "in_k", K), "two_k", "mixed_propagation"))
-R.add("h8_recent_activity", family("recent_activity"), stats_sql(
-    ["recent as (select * from edges where ts >= (select quantile_cont(ts, 0.7) from edges))"] + und_ctes("recent", K),
-    "und_k", "recent_activity"))
-R.add("h9_risk_cluster", family("risk_cluster"), stats_sql(
-    ["risky as (select node_id from nodes where f9 > (select quantile_cont(f9, 0.8) from nodes))",
-     "inner_edges as (select * from edges where src in (select node_id from risky) and dst in (select node_id from risky))"]
-    + und_ctes("inner_edges", K), "und_k", "risk_cluster"))
-R.add("h10_core_business", family("core_business"), stats_sql(
-    ["deg as (select src, count(*) as d from edges group by src)",
-     "core as (select src from deg where d > (select quantile_cont(d, 0.8) from deg))",
-     "inner_edges as (select * from edges where src in (select src from core) and dst in (select src from core))"]
-    + und_ctes("inner_edges", K), "und_k", "core_business"))
-R.add("h11_financial_hub", family("financial_hub"), stats_sql(
-    ["deg as (select node, count(*) as d from (select src as node from edges union all select dst from edges) group by node)",
-     "hub as (select node from deg where d > (select quantile_cont(d, 0.85) from deg))",
-     "touching as (select * from edges where src in (select node from hub) or dst in (select node from hub))"]
-    + und_ctes("touching", K), "und_k", "financial_hub"))
-CHAIN_K = 5
-R.add("h12_transaction_chain", family("transaction_chain", CHAIN_K), stats_sql([out_cte(CHAIN_K)] + [
-    "chains as (select a.node, c.nbr, a.edge_type, (a.ts+b.ts+c.ts)/3 as ts, row_number() over (partition by a.node, c.nbr "
-    "order by a.edge_id, a.edge_type, a.ts, b.edge_id, b.ts, c.edge_id, c.ts) as r from out_k a join out_k b on a.nbr = b.node "
-    "join out_k c on b.nbr = c.node where a.node <> c.nbr)",
-    f"chain_k as (select * from (select node, nbr, edge_type, ts, row_number() over (partition by node order by {PAIR_HASH}) as rk "
-    f"from chains where r = 1) where rk <= {CHAIN_K})"], "chain_k", "transaction_chain"))
+for number, (name, sql) in enumerate(family_sql(K, CHAIN_K).items(), start=1):
+    R.add(f"h{number}_{name}", family(name, CHAIN_K if name == "transaction_chain" else K), sql)
 
 
 def intervals(spark, folder):
@@ -136,5 +139,7 @@ def types_query(spark, folder):
 R.add("n0b_top_types", types_query, f"with {', '.join([EDGES] + und_ctes('edges', K))} select edge_type, count(*) as n "
       "from und_k group by edge_type order by n desc, edge_type limit 3")
 
-SOME = ("directed_1hop_out", "directed_1hop_in", "undirected_1hop")
-R.add("n0c_build_all", lambda spark, folder: settle(hops.all_hop_features(order_graph(spark, folder), K, TYPES)))
+SMALL_K = 5
+R.add("n0c_build_all", lambda spark, folder: settle(hops.all_hop_features(order_graph(spark, folder), SMALL_K, TYPES)),
+      "select * from " + " join ".join(
+          f"({sql}) t{i}" + (" using (node_id)" if i else "") for i, sql in enumerate(family_sql(SMALL_K, SMALL_K).values())))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["tables", "features", "activity", "hopfeatures", "aggregation", "ledger", "spectra"]
+MODULES = ["tables", "features", "activity", "hopfeatures", "aggregation", "ledger", "spectra", "scores"]
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["tables", "features", "activity", "hopfeatures", "aggregation", "ledger", "spectra", "scores"]
+MODULES = [
+    "tables", "features", "activity", "hopfeatures", "aggregation", "ledger", "spectra", "scores", "modelling",
+]
 
 
 def collect() -> tuple[dict[str, Callable], dict[str, str]]:

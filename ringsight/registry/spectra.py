@@ -39,7 +39,7 @@ LAP = "x.{c} - coalesce(s.{c},0)"
 
 
 def mean(cols):
-    return "(" + "+".join(cols) + f")/{float(len(cols))}"
+    return "((" + "+".join(cols) + f")/{float(len(cols))})"
 
 
 def pstd(cols):

@@ -1,0 +1 @@
+"""Empty on purpose: the feature set has no unbounded inputs, so there is nothing to stream."""

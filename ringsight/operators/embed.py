@@ -24,7 +24,7 @@ def adjacency_svd(graph: FraudGraph, k: int = 32, iterations: int = 5, seed: int
     import numpy as np
 
     links = cut_lineage(graph.neighbours().withColumn("weight", F.lit(1.0)))
-    width = k + 4
+    width = k + 10  # usual oversampling of the randomized method
     block = leading_subspace(links, graph.ids(), width, iterations, 0.0, seed)
     values, mix = ritz(links, block, width)
     lead = np.argsort(-np.abs(values))[:k]

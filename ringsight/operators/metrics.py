@@ -54,7 +54,7 @@ def _area(curve: DataFrame, keys: list[str], value: Column, name: str) -> DataFr
 def _auc_term() -> Column:
     # Positives at this score outrank the negatives below it and tie with those at it.
     below = F.col("n_neg") - F.col("fp")
-    return _div(F.col("pos") * (below + F.col("neg") / 2), F.col("n_pos") * F.col("n_neg"))
+    return F.try_divide(F.col("pos") * (below + F.col("neg") / 2), F.col("n_pos") * F.col("n_neg"))
 
 
 def _ap_term() -> Column:
@@ -69,7 +69,7 @@ def _pr_term() -> Column:
 
 
 def roc_auc(scored: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Q2: area under the ROC curve, ties counted half."""
+    """Q2: area under the ROC curve, ties counted half; null when only one class is present."""
     return _area(threshold_curve(scored, keys), list(keys), _auc_term(), "auc")
 
 
@@ -152,9 +152,9 @@ def g_mean(labelled: DataFrame, truth: str = "y", predicted: str = "prediction")
 
 
 def fold_summary(scored: DataFrame) -> DataFrame:
-    """Q7: mean and population std of AUC and F1 over the folds."""
+    """Q7: mean and population std of AUC and F1 over the folds that hold both classes."""
     per_fold = roc_auc(scored, ["fold"]).join(confusion_metrics(scored, ["fold"]).select("fold", "f1"), "fold")
-    return per_fold.agg(
+    return per_fold.where(F.col("auc").isNotNull()).agg(
         F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"),
         F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"), F.count(F.lit(1)).alias("folds"),
     )

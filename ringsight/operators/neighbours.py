@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringsight.functions.sampling import sample_k_per_key
+from ringsight.functions.sampling import first_k, sample_k_per_key
 from ringsight.functions.scalars import mean_of, safe_div, seeded_hash, total
 from ringsight.graph import FraudGraph
 from ringsight.operators.columns import kbins, matrix_columns, zscore
@@ -49,7 +49,8 @@ def _first_by_node_hash(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _hashed(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("h", seeded_hash("nbr"))
+    # The first 60 bits of the hash as a number: cheaper to sort and ship than its text.
+    return pairs.withColumn("h", F.conv(F.substring(seeded_hash("nbr"), 1, 15), 16, 10).cast("bigint"))
 
 
 def _hop(near: DataFrame, far: DataFrame) -> DataFrame:
@@ -62,9 +63,12 @@ def _hop(near: DataFrame, far: DataFrame) -> DataFrame:
 
 def _beyond(near: DataFrame, pairs: DataFrame, k1: int, k2: int) -> DataFrame:
     """At most k2 nodes behind the (at most k1) sampled ones, without those and the node itself."""
-    # At most k1 + 1 nodes are left out, so k2 + k1 + 1 per middle node always suffice.
-    far = _hop(near, _first_by_node_hash(_hashed(pairs), k2 + k1 + 1)).where(F.col("node") != F.col("nbr"))
-    return _first_by_node_hash(far.join(near, ["node", "nbr"], "left_anti"), k2)
+    # At most k1 + 1 nodes are left out, so k2 + k1 + 1 of them always suffice, per middle node
+    # and per node; only that many meet the anti join.
+    most = k2 + k1 + 1
+    far = _first_by_node_hash(_hop(near, _first_by_node_hash(_hashed(pairs), most)), most)
+    fresh = far.where(F.col("node") != F.col("nbr")).join(near, ["node", "nbr"], "left_anti")
+    return first_k(fresh, ["node"], ["h", "nbr"], k2).select("node", "nbr")
 
 
 def two_hop_features(graph: FraudGraph, k: int = 500, first: int = 5) -> DataFrame:

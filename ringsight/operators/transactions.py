@@ -26,6 +26,7 @@ def drop_unlabeled(transactions: DataFrame, unlabeled: int = 2) -> DataFrame:
 
 def _sample_std(n: Column, s: Column, ss: Column, digits: int) -> Column:
     """Sample std from exact integer sums, centred on the rounded mean before leaving integers."""
+    n = n.cast("decimal(19,0)")
     c = F.round(s / n, 0).cast("decimal(19,0)")
     centred = (ss - 2 * c * s + n * c * c).cast("double")
     shift = (s - n * c).cast("double")
@@ -46,27 +47,26 @@ def rolling_amount(
     fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0).cast("decimal(19,0)")
     wide = "decimal(38,0)"
     amounts = transactions.groupBy(*keys, "Time").agg(
-        F.count(F.lit(1)).cast(wide).alias("n"), F.sum(fixed).cast(wide).alias("s"), F.sum((fixed * fixed).cast(wide)).cast(wide).alias("ss")
+        F.count(F.lit(1)).alias("n"), F.sum(fixed).cast(wide).alias("s"), F.sum((fixed * fixed).cast(wide)).cast(wide).alias("ss")
     )
     seen = transactions.select(*keys, "Time", F.inline(F.array(*[
         F.struct(F.lit(d).alias("dim"), F.col(c).cast("string").alias("value")) for d, c in enumerate(DISTINCT)
     ])))
     changes = presence_changes(seen, keys, "Time", lookbacks, size)
-    blank = F.lit(None)
-    both = in_blocks(amounts, "Time", size, reach).select(
-        *keys, "_block", "Time", "n", "s", "ss", *[blank.cast("int").alias(c) for c in ("dim", "lo", "hi", "change")]
-    ).unionByName(changes.select(
-        *keys, "_block", "Time", *[blank.cast(wide).alias(c) for c in ("n", "s", "ss")], "dim", "lo", "hi", "change"
-    ))
+    sums = lookback_sums(in_blocks(amounts, "Time", size, reach), keys, "Time", ["n", "s", "ss"], lookbacks)
+    sums = sums.where(own_block("Time", size)).drop("_block")
+    entered = F.count_if(F.col("change") > 0).alias("entered")
+    grid = changes.groupBy(*keys, "_block", "Time").agg(entered, *[
+        F.sum(F.when((F.col("dim") == d) & (F.col("lo") <= i) & (F.col("hi") >= i), F.col("change")).otherwise(0)).alias(f"d{d}_{i}")
+        for d in range(len(DISTINCT)) for i in range(len(lookbacks))
+    ])
     variety = [f"d{d}_{i}" for d in range(len(DISTINCT)) for i in range(len(lookbacks))]
-    grid = both.groupBy(*keys, "_block", "Time").agg(
-        *[F.max(c).alias(c) for c in ("n", "s", "ss")],
-        *[
-            F.sum(F.when((F.col("dim") == d) & (F.col("lo") <= i) & (F.col("hi") >= i), F.col("change")).otherwise(0)).alias(f"d{d}_{i}")
-            for d in range(len(DISTINCT)) for i in range(len(lookbacks))
-        ],
+    present = lookback_sums(grid, keys, "Time", [], [], variety)
+    # Only the times at which something happened are asked for.
+    present = present.where(own_block("Time", size) & (F.col("entered") > 0)).select(
+        *keys, "Time", *[f"{c}_now" for c in variety]
     )
-    framed = lookback_sums(grid, keys, "Time", ["n", "s", "ss"], lookbacks, variety)
+    framed = sums.join(present, [*keys, "Time"])
     stats = []
     scale = F.lit(10.0**digits)
     for i, length in enumerate(lookbacks):
@@ -78,7 +78,7 @@ def rolling_amount(
             n.cast("bigint").alias(f"trans_at_num_{length}"),
             *[F.col(f"d{d}_{i}_now").alias(f"trans_{c.lower()}_num_{length}") for d, c in enumerate(DISTINCT)],
         ]
-    points = framed.where(own_block("Time", size) & F.col("n").isNotNull()).select(*keys, "Time", *stats)
+    points = framed.select(*keys, "Time", *stats)
     bias = {f"trans_at_bias_{length}": F.col("Amount") - F.col(f"trans_at_avg_{length}") for length in lookbacks}
     return transactions.join(points, [*keys, "Time"]).withColumns(bias)
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ringsight.functions.scalars import finite
 
-DIGITS = 9
+# Results are compared on at most 12 significant digits and 9 decimals, before they become floats.
+DIGITS, DECIMALS = 12, 9
 
 EDGES = """edges as (select l_orderkey*10+l_linenumber as edge_id, o_custkey as src,
   l_partkey % (select count(*) from customer) as dst,
@@ -19,8 +20,8 @@ EDGES = """edges as (select l_orderkey*10+l_linenumber as edge_id, o_custkey as
 
 NODES = """nodes as (select c_custkey as node_id, c_acctbal as f0, cast(c_nationkey as double) as f1,
   cast(dense_rank() over (order by c_mktsegment)-1 as double) as f2,
-  cast(count(o_orderkey) as double) as f3, coalesce(sum(o_totalprice),-1.0) as f4,
-  coalesce(avg(o_totalprice),-1.0) as f5, coalesce(max(o_totalprice),-1.0) as f6,
+  cast(count(o_orderkey) as double) as f3, coalesce(sum(cast(o_totalprice as decimal(18,4)))::double,-1.0) as f4,
+  coalesce(sum(cast(o_totalprice as decimal(18,4)))::double/count(o_totalprice),-1.0) as f5, coalesce(max(o_totalprice),-1.0) as f6,
   coalesce(min(o_totalprice),-1.0) as f7, cast(count(distinct o_orderpriority) as double) as f8,
   cast(count(case when o_orderstatus='F' then 1 end) as double) as f9,
   case when c_acctbal<0 then 1 when c_mktsegment='BUILDING' then 2
@@ -57,25 +58,36 @@ SCORED = """scored as (select l.doc_id as id, toxic as y, cast(n_chars % 1000 as
 
 
 def settle(df: DataFrame, keys=("node_id",)) -> DataFrame:
-    """Common output form: keys as they are, every other column a finite float."""
-    keys = set(keys)
+    """Common output form: keys as they are, every other column a finite float.
 
-    def tidy(name: str):
-        value = F.round(finite(F.col(f"`{name}`")), DIGITS)
-        return value.cast("float").alias(name)
+    Cutting the last digits first removes what depends on the order of a sum, so that the float
+    next to it is the same in every run.
+    """
+    names = [c for c in df.columns if c not in set(keys)]
 
-    return df.select(*[F.col(f"`{c}`") if c in keys else tidy(c) for c in df.columns])
+    def tidy(x):
+        scale = F.pow(F.lit(10.0), F.least(F.lit(DECIMALS), F.lit(DIGITS - 1) - F.floor(F.log10(F.abs(x)))).cast("double"))
+        return F.when(finite(x) == 0, 0.0).otherwise(F.floor(x * scale + 0.5) / scale).cast("float")
+
+    # One lambda for all columns: a table of 800 columns would otherwise generate 800 copies of it.
+    cells = F.transform(F.array(*[F.col(f"`{c}`").cast("double") for c in names]), tidy)
+    packed = df.select(*[F.col(f"`{c}`") for c in df.columns if c in set(keys)], cells.alias("_cells"))
+    place = {c: i for i, c in enumerate(names)}
+    return packed.select(*[
+        F.col("_cells")[place[c]].alias(c) if c in place else F.col(f"`{c}`") for c in df.columns
+    ])
 
 
 def settled(ctes: list[str], select: str, keys=("node_id",)) -> str:
     """The same output form in SQL."""
     names = ", ".join(f'"{k}"' for k in keys)
+    raw = f"cast(columns(* exclude ({names})) as double)"
     every = f"columns(* exclude ({names}))"
-    body = f"cast({every} as double)"
-    value = f"round(case when {body} is null or not isfinite({body}) then 0 else {body} end, {DIGITS})"
+    x = f"case when {raw} is null or not isfinite({raw}) then 0 else {raw} end"
+    scale = f"pow(10.0::double, least({DECIMALS}, {DIGITS - 1} - floor(log10(abs({every})))))"
     return (
-        f"with {', '.join(ctes)}, answer as ({select}) select {names}, "
-        f"cast(case when {value} = 0 then 0 else {value} end as float) from answer"
+        f"with {', '.join(ctes)}, answer as ({select}), clean as (select {names}, {x} from answer) "
+        f"select {names}, cast(case when {every} = 0 then 0 else floor({every} * {scale} + 0.5) / {scale} end as float) from clean"
     )
 
 

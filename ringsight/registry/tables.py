@@ -123,7 +123,8 @@ RATES = (f"*, {div('tp', 'tp+fp')} as precision, {div('tp', 'tp+fn')} as recall,
 
 def flat(ctes, select):
     """settled() for results without key columns."""
-    return settled(ctes, f"select 0 as _k, * from ({select})", ("_k",)).replace('select "_k", ', "select ", 1)
+    inner = settled(ctes, f"select 0 as _k, * from ({select})", ("_k",))
+    return f"select * exclude (_k) from ({inner})"
 
 
 CONFUSION = flat([SCORED], f"select {RATES} from (select {COUNTS.format(h='p > 0.5')} from scored)")

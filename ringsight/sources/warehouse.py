@@ -37,7 +37,10 @@ def customer_nodes(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer")
     price = F.col("o_totalprice")
     stats = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.count("o_orderkey").alias("n"), F.sum(price).alias("s"), F.avg(price).alias("a"),
+        F.count("o_orderkey").alias("n"),
+        # Summed as decimals: the same total whatever the order of the rows.
+        F.sum(price.cast("decimal(18,4)")).cast("double").alias("s"),
+        (F.sum(price.cast("decimal(18,4)")).cast("double") / F.count(price)).alias("a"),
         F.max(price).alias("x"), F.min(price).alias("m"),
         F.countDistinct("o_orderpriority").alias("p"),
         F.count_if(F.col("o_orderstatus") == "F").alias("done"),

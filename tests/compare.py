@@ -31,7 +31,7 @@ def normal(value):
     if value is None:
         return ""
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6g}"
+        return "nan" if math.isnan(value) else f"{value:.9g}"
     return str(value)
 
 

@@ -1,11 +1,13 @@
 """Run registered queries next to their SQL in DuckDB and compare the rows.
 
 Usage: python tests/compare.py [folder] [name-prefix ...]
+With ONLY_SQL=1 in the environment, queries without SQL are left out.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -79,6 +81,8 @@ def main() -> int:
     for name, query in queries().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
+        if os.environ.get("ONLY_SQL") and name not in sqls:
+            continue
         try:
             t0 = time.time()
             got = spark_rows(query(spark, folder))

@@ -37,23 +37,24 @@ def two_hop(first: DataFrame, second: DataFrame, threshold: int = HUB_THRESHOLD)
     """``first(u, v)`` and ``second(v, w)`` must be distinct pairs."""
     size = second.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
     tagged = first.join(size, "v")
-    # A node touches at most |edges| / threshold hubs, so the hub list of a node stays small.
-    # Written once, since the parts below read it several times; mostly it is empty.
-    signature = cut_lineage(
-        tagged.where(F.col("size") > threshold).groupBy("u")
-        .agg(F.array_sort(F.collect_set("v")).alias("hubs"))
-        .withColumn("sig", F.md5(F.array_join(F.col("hubs").cast("array<string>"), ",")))
-    )
+    hubs = tagged.where(F.col("size") > threshold).select("u", "v")
+    # The signature names the set of hubs by its size and two 64-bit xors of hashes, so that no
+    # list is built however many hubs a node touches. Written once: the parts below read it
+    # several times, and mostly it is empty.
+    signature = cut_lineage(hubs.groupBy("u").agg(F.concat_ws(
+        "-", F.count(F.lit(1)).cast("string"), F.bit_xor(F.xxhash64("v")).cast("string"),
+        F.bit_xor(F.xxhash64("v", F.lit(1))).cast("string"),
+    ).alias("sig")))
+    # One node per signature stands for its hub set.
+    leader = signature.groupBy("sig").agg(F.min("u").alias("u"))
     reach = cut_lineage(
-        signature.select("sig", "hubs").distinct()
-        .select("sig", F.explode("hubs").alias("v")).join(second, "v").select("sig", "w").distinct()
+        leader.join(hubs, "u").select("sig", "v").join(second, "v").select("sig", "w").distinct()
     )
     ordinary = tagged.where(F.col("size") <= threshold).join(second, "v").select("u", "w").distinct()
-    named = signature.select("u", "sig")
     light = (
-        ordinary.join(named, "u", "left").join(reach, ["sig", "w"], "left_anti").select("u", "w")
+        ordinary.join(signature, "u", "left").join(reach, ["sig", "w"], "left_anti").select("u", "w")
     )
-    return TwoHop(light, named, reach)
+    return TwoHop(light, signature, reach)
 
 
 def union_sums(hop: TwoHop, values: DataFrame | None, names: list[str]) -> DataFrame:

@@ -82,7 +82,7 @@ def span_sql(as_written=False):
 
 
 R.add("t4_span_2d", log(T.span_2d, ("row_id", "span")), span_sql())
-R.add("t4_span_2d_as_written", log(lambda t: T.span_2d(t, as_written=True), ("row_id", "span")), None)
+R.add("t4_span_2d_as_written", log(lambda t: T.span_2d(t, as_written=True), ("row_id", "span")), span_sql(as_written=True))
 R.add("t5_span_3d", log(T.span_3d, ("row_id", "span", "radius")), settled(
     [TRANSACTIONS, LOG, BANDED] + entropy_ctes() + ["rad as (select unnest([1,2,3,4,5])::int as radius)"], """
   select r.row_id, s.span, rad.radius, coalesce(a,0)/s.span as avg_amount, coalesce(a,0) as total_amount, r."Amount" - coalesce(a,0)/s.span as bias_amount,

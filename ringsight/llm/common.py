@@ -37,3 +37,11 @@ def whole_text(column: str = "text") -> Column:
 def columns_of(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of ``docs`` can't clash with working names."""
     return docs.select(*[docs[n] for n in names])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

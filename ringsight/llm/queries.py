@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from ringsight.llm.common import table
+from ringsight.llm.decontaminate import contaminated_pairs
 from ringsight.llm.jaccard_join import jaccard_classes
+from ringsight.llm.mixing import mix_sources, mixing_sql
+from ringsight.llm.personal_data import find_personal_data
+from ringsight.llm.quality import resample
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +23,27 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_source_mixing", mixing_sql())
+def op1(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register("op4_quality_classifier")
+def op4(spark, sf_dir):
+    kept = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "log_weight", "gumbel_key", "kept")
+
+
+@register("op5_pii")
+def op5(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@register("op8_benchmark_decontamination")
+def op8(spark, sf_dir):
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op10_ngram_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))

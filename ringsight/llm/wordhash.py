@@ -17,6 +17,9 @@ SLICE_BYTES = 1 << 20  # texts are hashed in slices of about 1 MB; a longer text
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# Separators for words of letters and digits only; bytes of other scripts count as letters.
+SYMBOLS = np.ones(256, bool)
+SYMBOLS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -71,7 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 class Words:
     """The words of a slice of texts: byte ranges, hashes, and the word range of each row."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = True, blank: np.ndarray = _BLANK) -> None:
         n = len(texts)
         buffers = texts.buffers()
         edges = np.frombuffer(buffers[1], np.int64, n + 1, texts.offset * 8)
@@ -83,7 +86,7 @@ class Words:
         self.row_bytes = edges - edges[0]
         if lower:
             self.bytes = _LOWER[self.bytes]
-        inside = ~_BLANK[self.bytes]
+        inside = ~blank[self.bytes]
         first = np.zeros(size + 1, bool)
         first[self.row_bytes] = True
         begins, closes = inside.copy(), inside.copy()

@@ -39,6 +39,11 @@ def columns_of(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n] for n in names])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``docs`` is called so."""
     taken = {c.lower() for c in docs.columns}

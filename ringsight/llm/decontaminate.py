@@ -24,6 +24,7 @@ K1, B = 1.2, 0.75
 SHARE = 0.5  # of an item's score with itself that a passage must reach
 OVERLAP = 0.6  # of the n-grams of question and of answer that must be in the passage
 NGRAM = 3
+LEAST = 5  # words of a question or an answer
 BLOCK = 32  # items to a block of the index
 PART_ITEMS = 20_000  # items indexed and sent to the executors at once
 
@@ -36,20 +37,22 @@ class Index:
     block_most: np.ndarray  # and by block; a row of zeros at the end for other words
     window: int  # words in half a passage
     ids: list[int | None]
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[tuple[int, np.ndarray]]  # n, and the hashed n-grams
+    answer: list[tuple[int, np.ndarray]]
 
 
 def split_item(words: int, sentence_ends: list[int]) -> int:
-    """Words of the question: all sentences but the last, or three quarters of a single one."""
-    inner = [e for e in sentence_ends if 0 < e < words]
-    return inner[-1] if inner else max(1, words * 3 // 4)
+    """Words of the question: all sentences but the last few, so that both parts have LEAST words; three
+    quarters where no sentence ends so. An item of fewer than 2 * LEAST words is not split (0)."""
+    if words < 2 * LEAST:
+        return 0
+    inner = [e for e in sentence_ends if LEAST <= e <= words - LEAST]
+    return inner[-1] if inner else min(words * 3 // 4, words - LEAST)
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    """Distinct n-grams; of fewer words one gram of all."""
-    n = min(NGRAM, len(h))
-    if not n:
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Distinct word n-grams."""
+    if len(h) < n:
         return np.empty(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for j in range(n):
@@ -57,6 +60,12 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return np.unique(mix(out + np.uint64(n)))
 
 
+def _part(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """n and the n-grams of a question or an answer; n is NGRAM, or less for fewer words."""
+    n = max(1, min(NGRAM, len(h)))
+    return n, _grams(h, n)
+
+
 def build(rows: list[tuple[int | None, str]], df: dict[int, int], items: int, mean: float) -> Index:
     """``df``, ``items`` and ``mean`` are the statistics of all items, also of other parts."""
     words = Words(pa.array([t for _, t in rows], pa.large_string()), blank=SYMBOLS)
@@ -69,8 +78,8 @@ def build(rows: list[tuple[int | None, str]], df: dict[int, int], items: int, me
         ends = [i + 1 for i, gap in enumerate(after) if np.isin(gap, (46, 33, 63, 10)).any()]
         cut = split_item(len(own), ends)
         ids.append(item)
-        question.append(_grams(own[:cut]))
-        answer.append(_grams(own[cut:]))
+        question.append(_part(own[:cut] if cut else own))
+        answer.append(_part(own[cut:]))
         each.append(np.unique(own, return_counts=True))
     postings: dict[int, list[tuple[int, float]]] = {}
     for i, (term, tf) in enumerate(each):
@@ -165,13 +174,12 @@ def _matches(index: Index, words: Words) -> list[list[tuple[int, float, float, f
         if index.block_most[terms].sum(axis=0).max(initial=0) < 1:
             continue
         hits = search(index, terms.tolist())
-        grams = _grams(h[lo:hi]) if hits else None
         for item, score in hits:
             shares = []
-            for part in (index.question[item], index.answer[item]):
-                shares.append(float(np.isin(part, grams).mean()) if len(part) else 1.0)
+            for n, part in (index.question[item], index.answer[item]):
+                shares.append(float(np.isin(part, _grams(h[lo:hi], n)).mean()))
             if min(shares) >= OVERLAP:
-                out[row].append((item, score * SHARE, *shares))
+                out[row].append((item, round(score * SHARE, 9), *shares))
     for r, hits in enumerate(out):
         best: dict[int, tuple] = {}
         for hit in hits:

@@ -12,7 +12,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringsight.llm.common import SPACES, WORD, stored, whole_text
+from ringsight.llm.common import SPACES, WORD, let, stored, whole_text
 
 SAMPLE_ROWS = 2_000
 SEED = 31
@@ -55,11 +55,10 @@ def lines_of(text: Column) -> Column:
 
 def _windows(words: Column) -> Column:
     """Hash of the words from each place on; 64 bits each, compared within one text only."""
-    n = F.size(words)
-    at = F.sequence(F.lit(0), n - WINDOW)
-    return F.when(n >= WINDOW, F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]))).otherwise(
-        F.array().cast("array<bigint>")
+    hashed = lambda w: F.transform(
+        F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WINDOW)])
     )
+    return let(words, lambda w: F.when(F.size(w) >= WINDOW, hashed(w)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _covered(windows: Column) -> Column:
@@ -69,24 +68,15 @@ def _covered(windows: Column) -> Column:
     repeated window adds the words that the one before it doesn't hold.
     """
     ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    hash_at = lambda r, i: F.get(r, i)["h"]
 
-    # The neighbours of each place come as arrays of their own, so the sorted array is made once for each.
-    def pairs(r: Column) -> Column:
-        none = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("i")))
-        with_next = F.zip_with(r, F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), none), lambda a, b: F.struct(a.alias("a"), b["h"].alias("n")))
-        return F.aggregate(
-            with_next,
-            F.struct(F.lit(None).cast("bigint").alias("before"), F.array().cast("array<int>").alias("out")),
-            lambda acc, x: F.struct(
-                x["a"]["h"].alias("before"),
-                F.when((x["a"]["h"] == x["n"]) | (x["a"]["h"] == acc["before"]), F.concat(acc["out"], F.array(x["a"]["i"]))).otherwise(acc["out"]).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
+    def repeated(r: Column) -> Column:
+        places = F.transform(r, lambda x, i: F.when((x["h"] == hash_at(r, i - 1)) | (x["h"] == hash_at(r, i + 1)), x["i"]))
+        return F.array_compact(places)
 
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("sum"))
     return F.aggregate(
-        F.sort_array(pairs(ranked)), start,
+        F.sort_array(let(ranked, repeated)), start,
         lambda acc, i: F.struct(i.alias("last"), (acc["sum"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("sum")),
         lambda acc: acc["sum"],
     )
@@ -94,18 +84,19 @@ def _covered(windows: Column) -> Column:
 
 def n_repeat_words(windows: Column) -> Column:
     """Most texts repeat no window: counting distinct hashes tells those apart."""
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("bigint")).otherwise(_covered(windows))
+    none = lambda v: F.size(F.array_distinct(v)) == F.size(v)
+    return let(windows, lambda v: F.when(none(v), F.lit(0).cast("bigint")).otherwise(_covered(v)))
 
 
 def rules(text: Column) -> dict[str, Column]:
     """Where each rule rejects."""
     words = F.size(words_of(text))
-    lines = lines_of(text)
+    repeats = lambda w: n_repeat_words(_windows(w)) * 100 > F.size(w) * REPEATED
     return {
         "few_words": words < FEW_WORDS,
-        "repeats": n_repeat_words(_windows(words_of(text))) * 100 > REPEATED * words,
+        "repeats": let(words_of(text), repeats),
         "symbols": n_symbols(text) * 100 > SYMBOL_SHARE * words,
-        "duplicate_lines": (F.size(lines) - F.size(F.array_distinct(lines))) * 100 > DUP_LINES * F.size(lines),
+        "duplicate_lines": let(lines_of(text), lambda v: (F.size(v) - F.size(F.array_distinct(v))) * 100 > F.size(v) * DUP_LINES),
         "shouting": n_upper(text) * 100 > SHOUTING * word_chars(text),
         "word_length": ~word_chars(text).between(F.lit(WORD_LENGTH[0]) * words, F.lit(WORD_LENGTH[1]) * words),
     }
@@ -150,12 +141,11 @@ def judge(docs: DataFrame) -> DataFrame:
     reject = rules(text)
     judged = cascade(given, reject, rank(given, reject, "text"), "kept")
     parts = judged.withColumns({"_words": words_of(text), "_lines": lines_of(text)})
-    hashed = parts.withColumn("_windows", _windows(F.col("_words")))
     big = lambda c: c.cast("bigint")
-    measured = hashed.select(
+    measured = parts.select(
         "doc_id", big(F.size("_words")).alias("n_words"), big(word_chars(text)).alias("word_chars"), big(n_symbols(text)).alias("n_symbols"),
         big(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        n_repeat_words(F.col("_windows")).alias("n_repeat_words"), "kept",
+        n_repeat_words(_windows(F.col("_words"))).alias("n_repeat_words"), "kept",
     )
     failed = (F.col("n_words") < FEW_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED)
     return measured.select("*", failed.alias("base_failed")).select(

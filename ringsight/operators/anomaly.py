@@ -25,7 +25,7 @@ def _minmax(scored: DataFrame, raw: str, name: str) -> DataFrame:
 def seeded_sample(rows: DataFrame, size: int, seed: int | str = SEED) -> DataFrame:
     """The ``size`` rows with the smallest hash; a threshold keeps the sort small on large tables."""
     n = rows.count()
-    share = 1.0 if n <= 4 * size else min(1.0, 2.0 * size / n + 0.0001)
+    share = min(1.0, (2.0 * size + 40.0) / max(n, 1))
     picked = rows.where(seeded_unit("node_id", seed=seed) < F.lit(share))
     return picked.orderBy(seeded_hash("node_id", seed=seed), "node_id").limit(size)
 
@@ -68,13 +68,12 @@ def isolation_forest(rows: DataFrame, columns: list[str], trees: int = 100, samp
     scored in batches.
     """
     n = rows.count()
-    if n > 4 * trees * sample:
-        # One seeded pool, dealt out by a second hash.
-        pool = seeded_sample(rows, trees * sample, f"{seed}pool")
-        dealt = pool.withColumn("tree", F.pmod(F.conv(F.substring(seeded_hash("node_id", seed=f"{seed}deal"), 1, 8), 16, 10).cast("bigint"), F.lit(trees)).cast("int"))
-    else:
-        spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        dealt = first_k(spread, ["tree"], [seeded_hash("tree", "node_id", seed=seed), "node_id"], sample)
+    # A draw per tree and row: twice as many as needed pass the threshold, the first of them stay.
+    share = min(1.0, (2.0 * sample + 40.0) / max(n, 1))
+    spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(
+        seeded_unit("tree", "node_id", seed=seed) < F.lit(share)
+    )
+    dealt = first_k(spread, ["tree"], [seeded_hash("tree", "node_id", seed=seed), "node_id"], sample)
 
     def grow(block: pd.DataFrame) -> pd.DataFrame:
         tree = int(block["tree"].iloc[0])
@@ -192,16 +191,16 @@ def iqr_outlier(rows: DataFrame, columns: list[str], first: int = 5) -> DataFram
     return placed.select("node_id", F.greatest(*scores).alias("stat_max_iqr_outlier"))
 
 
-def column_moments(rows: DataFrame, columns: list[str], first: int = 3, least: int = 100) -> DataFrame:
-    """|skewness| and |excess kurtosis| of the first columns, as constants; 0 for small tables."""
+def column_moments(rows: DataFrame, columns: list[str], first: int = 3) -> DataFrame:
+    """|skewness| and |excess kurtosis| of the first columns, as constants."""
     names = columns[:first]
     m = one_row(rows.agg(
-        F.count(F.lit(1)).alias("n"), *[F.skewness(c).alias(f"{c}_s") for c in names], *[F.kurtosis(c).alias(f"{c}_k") for c in names]
+        *[F.skewness(c).alias(f"{c}_s") for c in names], *[F.kurtosis(c).alias(f"{c}_k") for c in names]
     ))
     out = []
     for i, c in enumerate(names):
         for tag, name in (("s", "skewness"), ("k", "kurtosis")):
-            out.append(F.when(m["n"] > least, F.abs(m[f"{c}_{tag}"])).otherwise(0.0).alias(f"stat_feat{i}_{name}_abs"))
+            out.append(F.abs(m[f"{c}_{tag}"]).alias(f"stat_feat{i}_{name}_abs"))
     return rows.select("node_id", *out)
 
 

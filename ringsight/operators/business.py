@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ringsight.functions.scalars import safe_div
 from ringsight.graph import FraudGraph
-from ringsight.operators.enhanced import SIDES, _integer_std, hub_edges, linked_counts
+from ringsight.operators.enhanced import SIDES, _integer_std, linked_counts, type_counts
 from ringsight.operators.structure import directed_triangle_counts
 from ringsight.operators.temporal import degree_counts, per_node
-from ringsight.operators.twohop import HUB_THRESHOLD
 
 
 def degree_anomaly(graph: FraudGraph) -> DataFrame:
@@ -37,31 +36,24 @@ def time_concentration(graph: FraudGraph) -> DataFrame:
 
 def diversity(graph: FraudGraph) -> DataFrame:
     """Distinct edge types and distinct partners per source."""
-    pairs = graph.edges.groupBy("src", "dst").agg(F.bit_or(F.expr("shiftleft(1L, edge_type)")).alias("types"))
-    return per_node(graph, pairs.groupBy(F.col("src").alias("node")).agg(
-        F.bit_count(F.bit_or("types")).alias("biz_edge_type_diversity"),
-        F.count(F.lit(1)).alias("biz_unique_partners"),
-    ))
+    pairs = graph.edges.select("src", "dst").distinct()
+    partners = pairs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("biz_unique_partners"))
+    return per_node(graph, type_counts(graph, "biz_edge_type_diversity").join(partners, "node"))
 
 
-def second_hop_fraud(
-    graph: FraudGraph, threshold: int = HUB_THRESHOLD, sample: int = 3000
-) -> DataFrame:
-    """Fraud edges one hop away; for hubs, two hops away over a seeded sample of their edges.
+def second_hop_fraud(graph: FraudGraph) -> DataFrame:
+    """Fraud edges one hop away and two hops away, for every node.
 
-    The second hop is the neighbour's own fraud-edge count, so no pair is expanded.
+    The second hop is the sum of the neighbours' own fraud-edge counts over the edges, so no pair
+    is expanded. Edges are counted per (node, neighbour) first.
     """
     links = linked_counts(graph, F.col("label") == 1, {"out": "out", "in": "in"})
     parts = []
     for side, (key, other) in SIDES.items():
-        size = graph.edges.groupBy(F.col(key).alias("node")).agg(F.count(F.lit(1)).alias("n"))
-        ordinary = size.where(F.col("n") <= threshold).join(links, "node").select("node", F.col(side).alias("hits"))
-        sampled = hub_edges(graph.edges, side, threshold, sample).select(
-            F.col(key).alias("hub"), F.col(other).alias("node")
-        )
-        hubs = sampled.join(links, "node").groupBy(F.col("hub").alias("node")).agg(F.sum(side).alias("hits"))
-        both = ordinary.unionByName(hubs)
-        parts.append(both.select(F.col("node").alias("node_id"), F.col("hits").alias(f"biz_second_hop_fraud_{side}")))
+        parts.append(links.select(F.col("node").alias("node_id"), F.col(side).alias(f"biz_first_hop_fraud_{side}")))
+        pairs = graph.edges.groupBy(F.col(key).alias("node_id"), F.col(other).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        second = pairs.join(links, "node").groupBy("node_id").agg(F.sum(F.col("n") * F.col(side)).alias(f"biz_second_hop_fraud_{side}"))
+        parts.append(second)
     return graph.attach(*parts).fillna(0)
 
 

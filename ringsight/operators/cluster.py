@@ -8,7 +8,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ringsight.functions.linear import vectors
-from ringsight.functions.sampling import sample_k_per_key
 from ringsight.functions.scalars import safe_div, total
 from ringsight.graph import FraudGraph
 from ringsight.operators.structure import undirected_degree
@@ -47,19 +46,13 @@ def cluster_size(clusters: DataFrame, prefix: str) -> DataFrame:
     return joined.select("node_id", f"{prefix}_cluster_size", (F.col(f"{prefix}_cluster_size") / n).alias(f"{prefix}_cluster_size_norm"))
 
 
-def cluster_density(rows: DataFrame, columns: list[str], clusters: DataFrame, prefix: str, sample: int = 1000) -> DataFrame:
-    """K4: mean distance between the points of a cluster, over at most ``sample`` seeded points of it."""
-    points = sample_k_per_key(rows.join(clusters, "node_id"), ["cluster"], ["node_id"], ["node_id"], sample)
+def cluster_density(rows: DataFrame, columns: list[str], clusters: DataFrame, prefix: str) -> DataFrame:
+    """K4: root mean square distance between the points of a cluster, over all its pairs; 0 for a single point.
 
-    def spread(block: pd.DataFrame) -> pd.DataFrame:
-        x = block[columns].to_numpy(dtype=float)
-        away = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0.0))
-        n = len(x)
-        value = away[np.triu_indices(n, 1)].mean() if n > 1 else 0.0
-        return pd.DataFrame({"cluster": [block["cluster"].iloc[0]], "density": [value]})
-
-    kind = clusters.schema["cluster"].dataType.simpleString()
-    density = points.select("cluster", *columns).groupBy("cluster").applyInPandas(spread, f"cluster {kind}, density double")
+    The mean squared distance of all pairs is twice the sum of the columns' sample variances.
+    """
+    spread = total([F.coalesce(F.var_samp(c), F.lit(0.0)) for c in columns])
+    density = rows.join(clusters, "node_id").groupBy("cluster").agg(F.sqrt(2 * spread).alias("density"))
     return clusters.join(density, "cluster").select("node_id", F.col("density").alias(f"{prefix}_cluster_density"))
 
 

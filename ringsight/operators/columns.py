@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringsight.functions.ordered import average_ranks, column_quantiles, exact_quantiles, melt
+from ringsight.functions.ordered import average_ranks, column_quantiles, exact_quantiles, melt, running_sums
 from ringsight.functions.scalars import is_missing, one_row, total
 
 EPS = 1e-8
@@ -164,29 +164,70 @@ def kbins(df: DataFrame, n_bins: int = 5, strategy: str = "quantile") -> DataFra
 
 # --- C10: supervised bins --------------------------------------------------------------------
 
-def supervised_bins(
-    df: DataFrame, label: str, columns: list[str], train: Column, n_bins: int = 5, min_share: float = 0.01
-) -> DataFrame:
-    """Per column, the cut points of a small decision tree on the training rows, one-hot coded."""
-    import re
+CANDIDATES = 1024  # cut points looked at per column: all values, or so many quantiles of more
 
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    known = df.where(train & ~is_missing(F.col(label)))
-    depth = max(1, (n_bins - 1).bit_length())
-    tree = DecisionTreeClassifier(
-        featuresCol="_x", labelCol="_y", maxDepth=depth, minWeightFractionPerNode=min_share, seed=42
+def split_candidates(known: DataFrame, columns: list[str], y: str) -> DataFrame:
+    """Per column, values spread evenly over the ranks, with the rows and positives at or below each."""
+    counted = melt(known, [y], columns).where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")
     )
-    known = known.withColumn("_y", F.col(label).cast("double"))
+    run = running_sums(counted, ["column"], ["value"], {"upto": F.col("n"), "pos_upto": F.col("pos")})
+    sizes = counted.groupBy("column").agg(F.sum("n").alias("size"))
+    step = lambda rank: F.floor(rank * CANDIDATES / F.col("size"))
+    return run.join(sizes, "column").where(step(F.col("upto")) > step(F.col("upto") - F.col("n"))).select("column", "value", "upto", "pos_upto")
+
+
+def best_cuts(values: list[float], upto: list[int], positives: list[int], n_bins: int, min_share: float) -> list[float]:
+    """Best-first Gini splits of one column; ``upto`` and ``positives`` count rows at or below each value."""
+    least = min_share * upto[-1]
+
+    def impurity(n: float, p: float) -> float:
+        return 2 * p * (1 - p / n) if n else 0.0
+
+    def best(lo: int, hi: int) -> tuple[float, int]:
+        """Gain and place of the best cut inside the candidates lo < i < hi (part: rows above lo up to hi)."""
+        n0, p0 = (upto[lo], positives[lo]) if lo >= 0 else (0, 0)
+        n, p = upto[hi] - n0, positives[hi] - p0
+        gain, at = 0.0, -1
+        for i in range(lo + 1, hi):
+            left, hits = upto[i] - n0, positives[i] - p0
+            if left >= least and n - left >= least:
+                g = impurity(n, p) - impurity(left, hits) - impurity(n - left, p - hits)
+                if g > gain + 1e-12:
+                    gain, at = g, i
+        return gain, at
+
+    leaves = [(-1, len(values) - 1)]
+    cuts: list[int] = []
+    while len(leaves) < n_bins:
+        (gain, at), leaf = max(((best(*leaf), leaf) for leaf in leaves), key=lambda x: (x[0][0], -x[1][0]))
+        if at < 0:
+            break
+        leaves.remove(leaf)
+        leaves += [(leaf[0], at), (at, leaf[1])]
+        cuts.append(at)
+    return [values[i] for i in sorted(cuts)]
+
+
+def supervised_bins(
+    df: DataFrame, label: str, columns: list[str], train: Column, n_bins: int = 5, min_share: float = 0.01
+) -> DataFrame:
+    """Per column, the cut points of a tree with at most ``n_bins`` leaves on the training rows, one-hot coded.
+
+    All columns are counted in one pass; a leaf holds at least ``min_share`` of the training rows.
+    """
+    known = df.where(train & ~is_missing(F.col(label))).withColumn("_y", F.col(label).cast("int"))
+    # CANDIDATES rows per column at most.
+    table: dict[str, list] = {c: [] for c in columns}
+    for r in split_candidates(known.select("_y", *columns), columns, "_y").orderBy("column", "value").collect():
+        table[r["column"]].append(r)
     coded = []
-    for i, c in enumerate(columns):
-        rows = VectorAssembler(inputCols=[c], outputCol="_x", handleInvalid="skip").transform(known)
-        # A fitted tree of this depth has fewer than 2^depth thresholds.
-        text = tree.fit(rows.select("_x", "_y")).toDebugString
-        cuts = sorted({float(v) for v in re.findall(r"feature 0 <= (\S+?)\)", text)})[: n_bins - 1]
+    for c in columns:
+        rows = table[c]
+        cuts = best_cuts([r["value"] for r in rows], [r["upto"] for r in rows], [r["pos_upto"] for r in rows], n_bins, min_share) if rows else []
         value = F.lit(0)
         for cut in cuts:
-            value = value + (F.col(c) > F.lit(cut)).cast("int")
+            value = value + F.coalesce((F.col(c) > F.lit(cut)).cast("int"), F.lit(0))
         coded += [(value == b).cast("int").alias(f"{c}_bin_{b}") for b in range(len(cuts) + 1)]
     return df.select("node_id", *columns, *coded)

@@ -76,7 +76,7 @@ def degree_embedding(graph: FraudGraph, dim: int = 16, seed: int = SEED) -> Data
     return unit_rows(project(degree_shapes(graph), shapes, gaussian(6, dim, seed), "degree_embedding_dim"))
 
 
-def neighbour_embedding(graph: FraudGraph, dim: int = 20, k: int = 50, seed: int = SEED) -> DataFrame:
+def neighbour_embedding(graph: FraudGraph, dim: int = 20, k: int | None = None, seed: int = SEED) -> DataFrame:
     """Own features, neighbour mean and their difference, projected; rows of length one."""
     names = graph.feature_names
     values = graph.features().withColumnRenamed("node_id", "nbr")

@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringsight.functions.sampling import sample_k_per_key
 from ringsight.functions.scalars import safe_div
 from ringsight.graph import EDGE_COLUMNS, FraudGraph
 from ringsight.operators.temporal import degree_counts, endpoints, per_node
@@ -167,35 +166,30 @@ def second_hop_count(graph: FraudGraph, threshold: int = HUB_THRESHOLD) -> DataF
     return graph.attach(*parts).fillna(0)
 
 
-def hub_edges(edges: DataFrame, side: str, threshold: int, sample: int) -> DataFrame:
-    """At most ``sample`` seeded edges of every node with more than ``threshold`` of them."""
-    key, _ = SIDES[side]
-    hubs = edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold).select(key)
-    ties = ["edge_id", "src", "dst", "edge_type", "ts"]
-    return sample_k_per_key(edges.join(hubs, key, "left_semi"), [key], ["edge_id"], ties, sample)
-
-
-def second_hop_hub(graph: FraudGraph, threshold: int = HUB_THRESHOLD, sample: int = 5000) -> DataFrame:
-    """M9: two-step count of hubs from a seeded sample of their edges (a sampling operator)."""
+def second_hop_hub(graph: FraudGraph, degree: int = 50) -> DataFrame:
+    """M9: M8 for the nodes with more than ``degree`` edges on that side, 0 for all others."""
     parts = []
-    for side in SIDES:
-        sampled = hub_edges(graph.edges, side, threshold, sample)
-        union = union_sums(two_hop(*hops(graph.edges, side, sampled)), None, ["n"])
+    for side, (key, _) in SIDES.items():
+        hubs = graph.edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > degree).select(key)
+        near, far = hops(graph.edges, side, graph.edges.join(hubs, key, "left_semi"))
+        union = union_sums(two_hop(near, far, HUB_THRESHOLD), None, ["n"])
         parts.append(union.select(F.col("u").alias("node_id"), F.col("n").alias(f"enh_second_hop_{side}_count")))
     return graph.attach(*parts).fillna(0)
 
 
 def interaction_pattern(graph: FraudGraph) -> DataFrame:
     """Distinct targets, edges and distinct types per source."""
-    # One row per (source, target), the types as a bitmap: no distinct list per node is built.
-    pairs = graph.edges.groupBy("src", "dst").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_or(F.expr("shiftleft(1L, edge_type)")).alias("types")
-    )
+    # One row per (source, target) and per (source, type): no distinct list per node is built.
+    pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     stats = pairs.groupBy(F.col("src").alias("node")).agg(
-        F.count(F.lit(1)).alias("enh_unique_targets"), F.sum("n").alias("enh_total_interactions"),
-        F.bit_count(F.bit_or("types")).alias("enh_unique_edge_types"),
+        F.count(F.lit(1)).alias("enh_unique_targets"), F.sum("n").alias("enh_total_interactions")
     )
-    return per_node(graph, stats)
+    return per_node(graph, stats.join(type_counts(graph, "enh_unique_edge_types"), "node"))
+
+
+def type_counts(graph: FraudGraph, name: str) -> DataFrame:
+    """Distinct edge types of each source."""
+    return graph.edges.select("src", "edge_type").distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias(name))
 
 
 def activity_span(graph: FraudGraph) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ringsight.functions.ordered import exact_quantiles, melt
 from ringsight.functions.sampling import first_k, sample_k_per_key
 from ringsight.functions.scalars import mean_of, safe_div, seeded_hash, total
 from ringsight.graph import FraudGraph
@@ -15,9 +16,9 @@ from ringsight.session import cut_lineage
 AGGS = (("mean", F.avg), ("max", F.max), ("min", F.min), ("std", F.stddev_pop), ("sum", F.sum))
 
 
-def sampled_neighbours(pairs: DataFrame, k: int) -> DataFrame:
-    """At most k seeded neighbours of each node of distinct ``(node, nbr)`` pairs."""
-    return sample_k_per_key(pairs, ["node"], ["node", "nbr"], ["nbr"], k)
+def sampled_neighbours(pairs: DataFrame, k: int | None) -> DataFrame:
+    """All, or at most k seeded neighbours of each node of distinct ``(node, nbr)`` pairs."""
+    return pairs if k is None else sample_k_per_key(pairs, ["node"], ["node", "nbr"], ["nbr"], k)
 
 
 def _values(graph: FraudGraph, first: int | None = None) -> DataFrame:
@@ -29,8 +30,8 @@ def _on_nodes(graph: FraudGraph, stats: DataFrame) -> DataFrame:
     return graph.attach(stats.withColumnRenamed("node", "node_id")).fillna(0)
 
 
-def one_hop(graph: FraudGraph, k: int = 50) -> DataFrame:
-    """A1: mean, max, min, population std and sum of every feature over at most k neighbours."""
+def one_hop(graph: FraudGraph, k: int | None = None) -> DataFrame:
+    """A1: mean, max, min, population std and sum of every feature over all neighbours (or k of them)."""
     values = _values(graph)
     rows = sampled_neighbours(graph.neighbours(), k).join(values, "nbr")
     aggs = [how(f"v{i}").alias(f"orig_n1_{s}_feat{i}") for i in range(len(graph.feature_names)) for s, how in AGGS]
@@ -110,24 +111,30 @@ def degree_correlation(graph: FraudGraph, first: int = 3) -> DataFrame:
     return rows.select("node_id", *out)
 
 
-def neighbour_distribution(graph: FraudGraph, k: int = 50, first: int = 3) -> DataFrame:
-    """A4: skewness, excess kurtosis and IQR over at most k neighbours; 0 below three."""
+def neighbour_distribution(graph: FraudGraph, k: int | None = None, first: int = 3) -> DataFrame:
+    """A4: skewness, excess kurtosis and IQR over all neighbours (or k of them); 0 below three."""
     rows = sampled_neighbours(graph.neighbours(), k).join(_values(graph, first), "nbr")
-    enough, aggs = F.count(F.lit(1)) >= 3, []
-    for i in range(first):
-        v = F.col(f"v{i}")
-        # k values per node at most, so the exact percentile stays small.
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
+    values = [f"v{i}" for i in range(first)]
+    # Ranks over range partitions: no task holds all values of a node.
+    quartiles = exact_quantiles(melt(rows, ["node"], values), ["node", "column"], [0.25, 0.75]).groupBy("node").agg(
+        *[F.max(F.when(F.col("column") == v, F.col("q")[1] - F.col("q")[0])).alias(f"iqr_{v}") for v in values]
+    )
+    enough, aggs = F.count(F.lit(1)) >= 3, [(F.count(F.lit(1)) >= 3).alias("enough")]
+    for i, v in enumerate(values):
         flat = F.max(v) == F.min(v)
         aggs += [
             F.when(enough & ~flat, F.skewness(v)).otherwise(0.0).alias(f"orig_feat{i}_neighbor_skew"),
             F.when(enough & ~flat, F.kurtosis(v)).otherwise(0.0).alias(f"orig_feat{i}_neighbor_kurt"),
-            F.when(enough, q[1] - q[0]).otherwise(0.0).alias(f"orig_feat{i}_neighbor_iqr"),
         ]
-    return _on_nodes(graph, rows.groupBy("node").agg(*aggs))
+    joined = rows.groupBy("node").agg(*aggs).join(quartiles, "node", "left")
+    out = []
+    for i, v in enumerate(values):
+        iqr = F.when(F.col("enough"), F.col(f"iqr_{v}")).otherwise(0.0)
+        out += [f"orig_feat{i}_neighbor_skew", f"orig_feat{i}_neighbor_kurt", iqr.alias(f"orig_feat{i}_neighbor_iqr")]
+    return _on_nodes(graph, joined.select("node", *out))
 
 
-def in_out_difference(graph: FraudGraph, k: int = 50, first: int = 3) -> DataFrame:
+def in_out_difference(graph: FraudGraph, k: int | None = None, first: int = 3) -> DataFrame:
     """A5: mean over in-neighbours against mean over out-neighbours; own value where none."""
     pairs = graph.edges.select("src", "dst").distinct()
     values = _values(graph, first)
@@ -156,7 +163,7 @@ def bin_table(graph: FraudGraph, n_bins: int = 5) -> DataFrame:
     return kbins(graph.features(), n_bins).withColumnRenamed("node_id", "nbr")
 
 
-def bin_one_hop(graph: FraudGraph, bins: DataFrame | None = None, k: int = 50) -> DataFrame:
+def bin_one_hop(graph: FraudGraph, bins: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """A1 with a count, on binned features."""
     bins = bin_table(graph) if bins is None else bins
     rows = sampled_neighbours(graph.neighbours(), k).join(bins, "nbr")
@@ -186,7 +193,7 @@ def bin_distribution(graph: FraudGraph, bins: DataFrame | None = None, n_bins: i
     return _on_nodes(graph, counts.select("node", *out))
 
 
-def bin_cross_feature(graph: FraudGraph, bins: DataFrame | None = None, k: int = 50) -> DataFrame:
+def bin_cross_feature(graph: FraudGraph, bins: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """Mean, max, min and range over features of the neighbours' bin means; mean of the stds."""
     stats = bin_one_hop(graph, bins, k)
     n = len(graph.feature_names)
@@ -288,8 +295,8 @@ def k_neighbours(graph: FraudGraph, k: int, where: str, risk_only: bool = False)
 def khop_exclusive(graph: FraudGraph, k: int = 2, max_density: float | None = None) -> DataFrame:
     """Undirected pairs by the hop at which they are first reached; hop 0 is the identity.
 
-    The result is the pair list itself; ``max_density`` stops before a level whose pattern would
-    fill more than that share of all pairs.
+    The result is the pair list itself and may grow to all pairs; a level that fills more than
+    ``max_density`` of them is an error.
     """
     und = graph.neighbours().where(F.col("node") != F.col("nbr"))
     n = graph.nodes.count() if max_density is not None else 0
@@ -300,15 +307,15 @@ def khop_exclusive(graph: FraudGraph, k: int = 2, max_density: float | None = No
         fresh = _hop(front, und).distinct().join(seen, ["node", "nbr"], "left_anti")
         front = cut_lineage(fresh)
         if max_density is not None and front.count() > max_density * n * n:
-            break
+            raise ValueError(f"hop {hop} fills more than {max_density} of all pairs")
         seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     return seen
 
 
-def walk_counts(graph: FraudGraph, k: int = 2, max_density: float | None = 0.001) -> DataFrame:
+def walk_counts(graph: FraudGraph, k: int = 2, max_density: float | None = None) -> DataFrame:
     """Number of directed walks of each length up to k, ``(node, nbr, length, walks)``.
 
-    Powers denser than ``max_density`` are left out, as are all longer ones.
+    The result is a list of pairs and may grow to all of them; a power denser than ``max_density`` is an error.
     """
     step = graph.edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr")).distinct().withColumn("walks", F.lit(1))
     n = graph.nodes.count()
@@ -319,7 +326,7 @@ def walk_counts(graph: FraudGraph, k: int = 2, max_density: float | None = 0.001
         right = step.select(F.col("node").alias("mid"), "nbr")
         power = cut_lineage(left.join(right, "mid").groupBy("node", "nbr").agg(F.sum("walks").alias("walks")))
         if max_density is not None and power.count() > max_density * n * n:
-            break
+            raise ValueError(f"walks of length {length} fill more than {max_density} of all pairs")
         out = out.unionByName(power.withColumn("length", F.lit(length)))
     return out
 

@@ -88,13 +88,12 @@ R.add("m8_second_hop_count", graph_query(enhanced.second_hop_count), settled(BAS
   left join (select p.dst as u, count(distinct q.src) as n from pairs p join pairs q on p.src = q.dst group by 1) b on b.u = node_id"""))
 
 
-def hub_cte(key, threshold, sample):
-    return (f"hub_{key} as (select src, dst from (select *, row_number() over (partition by {key} order by {HASH}, {WHOLE}) as r, "
-            f"count(*) over (partition by {key}) as n from edges) where n > {threshold} and r <= {sample})")
+def hub_cte(key, degree):
+    return f"hub_{key} as (select src, dst from (select *, count(*) over (partition by {key}) as n from edges) where n > {degree})"
 
 
-R.add("m9_second_hop_hub", graph_query(lambda g: enhanced.second_hop_hub(g, threshold=50, sample=20)), settled(
-    BASE + [PAIR, hub_cte("src", 50, 20), hub_cte("dst", 50, 20)], """
+R.add("m9_second_hop_hub", graph_query(enhanced.second_hop_hub), settled(
+    BASE + [PAIR, hub_cte("src", 50), hub_cte("dst", 50)], """
   select node_id, a.n as enh_second_hop_out_count, b.n as enh_second_hop_in_count from nodes
   left join (select p.src as u, count(distinct q.dst) as n from hub_src p join pairs q on p.dst = q.src group by 1) a on a.u = node_id
   left join (select p.dst as u, count(distinct q.src) as n from hub_dst p join pairs q on p.src = q.dst group by 1) b on b.u = node_id"""))
@@ -135,17 +134,16 @@ R.add("b3_diversity", graph_query(business.diversity), settled(BASE, on_nodes(
 
 def second_fraud(key, other, side):
     fan = f"fan_{side} as (select {key} as v, count(*) as hits from edges where {other} in (select node_id from nodes where split='train' and label=1) group by {key})"
-    near = (f"hop_{side} as (select {key} as u, count(*) filter ({other} in (select node_id from nodes where split='train' and label=1)) as hits, count(*) as n from edges group by {key})")
-    far = f"far_{side} as (select h.{key} as u, sum(hits) as hits from hub_{key} h join fan_{side} f on f.v = h.{other} group by h.{key})"
-    return [fan, near, far]
+    far = f"far_{side} as (select h.{key} as u, sum(hits) as hits from edges h join fan_{side} f on f.v = h.{other} group by h.{key})"
+    return [fan, far]
 
 
-R.add("b4_second_hop_fraud", graph_query(lambda g: business.second_hop_fraud(g, threshold=50, sample=20)), settled(
-    BASE + [hub_cte("src", 50, 20), hub_cte("dst", 50, 20)] + second_fraud("src", "dst", "out") + second_fraud("dst", "src", "in"), """
-  select node_id, case when ho.n > 50 then fo.hits else ho.hits end as biz_second_hop_fraud_out,
-    case when hi.n > 50 then fi.hits else hi.hits end as biz_second_hop_fraud_in from nodes
-    left join hop_out ho on ho.u = node_id left join far_out fo on fo.u = node_id
-    left join hop_in hi on hi.u = node_id left join far_in fi on fi.u = node_id"""))
+R.add("b4_second_hop_fraud", graph_query(business.second_hop_fraud), settled(
+    BASE + second_fraud("src", "dst", "out") + second_fraud("dst", "src", "in"), """
+  select node_id, a.hits as biz_first_hop_fraud_out, b.hits as biz_first_hop_fraud_in,
+    fo.hits as biz_second_hop_fraud_out, fi.hits as biz_second_hop_fraud_in from nodes
+    left join fan_out a on a.v = node_id left join fan_in b on b.v = node_id
+    left join far_out fo on fo.u = node_id left join far_in fi on fi.u = node_id"""))
 R.add("b5_time_gap_stats", graph_query(business.time_gap_stats), settled(BASE + [
     "steps as (select src, ts - lag(ts) over (partition by src order by ts) as gap from edges)"], on_nodes(
     "avg(gap) as biz_time_gap_mean, stddev_samp(gap) as biz_time_gap_std, max(gap) as biz_time_gap_max, "

@@ -84,7 +84,9 @@ NBR_HASH = "md5(concat_ws('|','42',cast(nbr as varchar)))"
 HOW = (("mean", "avg"), ("max", "max"), ("min", "min"), ("std", "stddev_pop"), ("sum", "sum"))
 
 
-def near(source, k, name="near"):
+def near(source, k=None, name="near"):
+    if k is None:
+        return f"{name} as (select node, nbr from {source})"
     return (f"{name} as (select node, nbr from (select *, row_number() over (partition by node order by {PAIR_HASH}, nbr) as rk "
             f"from {source}) where rk <= {k})")
 
@@ -95,7 +97,7 @@ def grouped(ctes, aggs, pairs, values="nodes", key="node_id"):
 
 
 UNDS = BASE + [UND]
-R.add("a1_nbr_agg_1hop", graph_query(neighbours.one_hop), grouped(UNDS + [near("und", 50)], ", ".join(
+R.add("a1_nbr_agg_1hop", graph_query(neighbours.one_hop), grouped(UNDS + [near("und")], ", ".join(
     f"{h}(f{i}) as orig_n1_{s}_feat{i}" for i in F10 for s, h in HOW), "near"))
 HOP2 = "hop2 as (select distinct a.node, b.nbr from und a join und b on a.nbr = b.node)"
 FIRST = "picked as (select node, nbr from (select *, row_number() over (partition by node order by {h}, nbr) as rk from {t}) where rk <= {k})"
@@ -116,7 +118,7 @@ R.add("a3_degree_correlation", graph_query(neighbours.degree_correlation), settl
 MOM = ("near_means as (select p.node, count(*) as n, " + ", ".join(f"avg(f{i}) as m{i}" for i in range(3))
        + " from near p join nodes v on v.node_id = p.nbr group by p.node)")
 R.add("a4_nbr_distribution", graph_query(neighbours.neighbour_distribution), settled(
-    UNDS + [near("und", 50), MOM], "select k.node_id, s.* exclude (node) from nodes k left join (select p.node, " + ", ".join(
+    UNDS + [near("und"), MOM], "select k.node_id, s.* exclude (node) from nodes k left join (select p.node, " + ", ".join(
         f"case when max(n) >= 3 and max(f{i}) > min(f{i}) then avg((f{i}-m{i})**3)/(avg((f{i}-m{i})**2)**1.5) else 0 end as orig_feat{i}_neighbor_skew, "
         f"case when max(n) >= 3 and max(f{i}) > min(f{i}) then avg((f{i}-m{i})**4)/(avg((f{i}-m{i})**2)**2)-3 else 0 end as orig_feat{i}_neighbor_kurt, "
         f"case when max(n) >= 3 then quantile_cont(f{i},0.75)-quantile_cont(f{i},0.25) else 0 end as orig_feat{i}_neighbor_iqr"
@@ -124,7 +126,7 @@ R.add("a4_nbr_distribution", graph_query(neighbours.neighbour_distribution), set
 INS = "ins as (select distinct dst as node, src as nbr from edges)"
 OUTS = "outs as (select distinct src as node, dst as nbr from edges)"
 R.add("a5_in_out_difference", graph_query(neighbours.in_out_difference), settled(
-    BASE + [INS, OUTS, near("ins", 50, "near_in"), near("outs", 50, "near_out")] + [
+    BASE + [INS, OUTS, near("ins", name="near_in"), near("outs", name="near_out")] + [
         f"means_{d} as (select p.node, " + ", ".join(f"avg(f{i}) as {d}{i}" for i in range(3))
         + f" from near_{d} p join nodes v on v.node_id = p.nbr group by p.node)" for d in ("in", "out")],
     "select node_id, " + ", ".join(
@@ -134,7 +136,7 @@ R.add("a5_in_out_difference", graph_query(neighbours.in_out_difference), settled
 
 BINS = UNDS + BIN_CTES
 A6 = ", ".join(f"{h}(bin_{i}) as bin_n1_{s}_feat{i}" for i in F10 for s, h in HOW + (("count", "count"),))
-R.add("a6_bin_nbr_agg", graph_query(neighbours.bin_one_hop), grouped(BINS + [near("und", 50)], A6, "near", "bins"))
+R.add("a6_bin_nbr_agg", graph_query(neighbours.bin_one_hop), grouped(BINS + [near("und")], A6, "near", "bins"))
 CELL = "count(*) filter (bin_{i}={b})/count(*)::double"
 ENT = "case when count(*) < 2 then 0 else " + " + ".join(
     "(case when count(*) filter (bin_{i}=" + str(b) + ") > 0 then -(count(*) filter (bin_{i}=" + str(b)
@@ -148,7 +150,7 @@ R.add("a7_bin_distribution", graph_query(neighbours.bin_distribution), grouped(B
     for i in range(5)), "und", "bins"))
 MS = ",".join(f"bin_n1_mean_feat{i}" for i in F10)
 R.add("a8_bin_cross_feature", graph_query(neighbours.bin_cross_feature), settled(
-    BINS + [near("und", 50), f"agg as (select p.node, {A6} from near p join bins v on v.node_id = p.nbr group by p.node)"], f"""
+    BINS + [near("und"), f"agg as (select p.node, {A6} from near p join bins v on v.node_id = p.nbr group by p.node)"], f"""
   select node_id, ({MS.replace(',', '+')})/10.0 as bin_all_mean, ({'+'.join(f'bin_n1_std_feat{i}' for i in F10)})/10.0 as bin_all_std,
    greatest({MS}) as bin_all_max, least({MS}) as bin_all_min, greatest({MS})-least({MS}) as bin_all_range
   from nodes left join agg on agg.node = node_id"""))
@@ -209,7 +211,7 @@ R.add("a13_khop_exclusive", lambda spark, folder: summary(
     neighbours.khop_exclusive(order_graph(spark, folder), 2), "node", "hop"), total_of(
     "(select node_id as node, node_id as nbr, 0 as hop from nodes union all select node, nbr, 1 from simple union all select node, nbr, 2 from hop2)",
     UNDS + ["simple as (select * from und where node <> nbr)", TWO_IN.replace("ins", "simple")], "node, hop"))
-R.add("a14_walk_counts", lambda spark, folder: neighbours.walk_counts(order_graph(spark, folder), 2, None)
+R.add("a14_walk_counts", lambda spark, folder: neighbours.walk_counts(order_graph(spark, folder), 2)
       .groupBy("node", "length").agg(F.count(F.lit(1)).alias("ends"), F.sum("walks").alias("walks")),
       f"""with {EDGES}, {OUTS}, w2 as (select a.node, b.nbr, count(*)::double as walks from outs a join outs b on a.nbr = b.node group by 1, 2)
   select node, 1 as length, count(*) as ends, count(*)::double as walks from outs group by node

@@ -63,7 +63,7 @@ R.add("k3_cluster_size", graph_query(lambda g: cluster.cluster_size(segments(g),
 DIST2 = "+".join(f"(a.{c}-b.{c})**2" for c in FS)
 R.add("k4_cluster_density", scaled(lambda g: cluster.cluster_density(
     g.features(), g.feature_names, segments_of_scaled(g), "kmeans_5")), settled([NODES, CL, SCALED, "pts as (select * from scaled join cl using (node_id))"], f"""
-  select node_id, d as kmeans_5_cluster_density from cl join (select a.cluster, avg(sqrt({DIST2})) as d from pts a join pts b
+  select node_id, d as kmeans_5_cluster_density from cl join (select a.cluster, sqrt(avg({DIST2})) as d from pts a join pts b
    on a.cluster = b.cluster and a.node_id < b.node_id group by a.cluster) using (cluster)"""))
 
 

@@ -176,7 +176,7 @@ G4 = gaussian(30, 20)
 NE = [f"neighbor_embedding_dim{i}" for i in range(20)]
 TRIPLE = [f"n.f{i}" for i in range(10)] + [f"m.m{i}" for i in range(10)] + [f"(n.f{i}-m.m{i})" for i in range(10)]
 R.add("e4_neighbour_embedding", graph_query(embed.neighbour_embedding), unit_sql(
-    BASE + [near("und", 50), "mn as (select n.node_id, " + ", ".join(f"coalesce(avg(v.f{i}), any_value(n.f{i})) as m{i}" for i in range(10))
+    BASE + [near("und"), "mn as (select n.node_id, " + ", ".join(f"coalesce(avg(v.f{i}), any_value(n.f{i})) as m{i}" for i in range(10))
             + " from nodes n left join near p on p.node = n.node_id left join nodes v on v.node_id = p.nbr group by n.node_id)"],
     "select n.node_id, " + ", ".join("+".join(f"{t}*({float(G4[j, i])!r})" for j, t in enumerate(TRIPLE)) + f" as {c}" for i, c in enumerate(NE))
     + " from nodes n join mn m using (node_id)", NE))

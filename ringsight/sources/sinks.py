@@ -15,20 +15,24 @@ def write_features(family: DataFrame, path: str) -> None:
 def concat_features(families: list[DataFrame], key: str = "node_id", keep_first: bool = False) -> DataFrame:
     """Families side by side on the first one's nodes.
 
-    A repeated column gets ``_1``, ``_2``.. appended; with ``keep_first`` only its first copy stays.
+    A repeated column gets the first free of ``_1``, ``_2``.. appended; with ``keep_first`` only its first copy stays.
     """
-    seen: dict[str, int] = {}
+    given = {c for family in families for c in family.columns}
+    taken: set[str] = set()
     out = None
     for family in families:
         picked = [F.col(key)]
         for c in family.columns:
             if c == key:
                 continue
-            if c in seen and keep_first:
+            if c in taken and keep_first:
                 continue
-            copies = seen.get(c)
-            seen[c] = 0 if copies is None else copies + 1
-            picked.append(F.col(f"`{c}`").alias(c if copies is None else f"{c}_{copies + 1}"))
+            name, copies = c, 0
+            while name in taken or (copies and name in given):
+                copies += 1
+                name = f"{c}_{copies}"
+            taken.add(name)
+            picked.append(F.col(f"`{c}`").alias(name))
         part = family.select(*picked)
         out = part if out is None else out.join(part, key, "left")
     return out

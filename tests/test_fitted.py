@@ -163,3 +163,41 @@ def test_families_keep_one_finite_row_per_node(spark, tmp_path):
     assert np.isfinite(rows.to_numpy(dtype=float)).all()
     np.testing.assert_allclose(rows["active_window_span"], rows["last_active_out"] - rows["undirected_1hop_timestamp_min"])
     assert set(FAMILIES) >= {"degree", "undirected_1hop", "spectral", "mixed"}
+
+
+def test_supervised_bins_find_rare_fraud(spark):
+    """1 % fraud below a value and 20 % above it gives a cut there; a constant column gives one bin."""
+    from pyspark.sql import functions as F
+
+    from ringsight.operators.columns import best_cuts, supervised_bins
+
+    rows = [(i, float(i % 100), 1.0, int(i % 500 < 5 if i % 100 < 50 else i % 5 == 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "node_id long, a double, b double, fraud int")
+    coded = supervised_bins(df, "fraud", ["a", "b"], F.lit(True))
+    assert {"a_bin_1", "b_bin_0"} <= set(coded.columns) and "b_bin_1" not in coded.columns
+    first = coded.where("a <= 49").select([c for c in coded.columns if c.startswith("a_bin")]).distinct().collect()
+    later = coded.where("a > 49").select([c for c in coded.columns if c.startswith("a_bin")]).distinct().collect()
+    assert not set(first) & set(later)
+    # The first cut has the largest gain of all.
+    assert best_cuts([1.0, 2.0, 3.0, 4.0], [10, 20, 30, 40], [0, 0, 10, 20], 2, 0.01) == [2.0]
+
+
+def test_cluster_density_uses_all_points(spark):
+    import itertools
+    import math
+
+    from ringsight.operators.cluster import cluster_density
+
+    points = [(i, float(i * i % 17), float(i % 5)) for i in range(1500)]
+    df = spark.createDataFrame(points, "node_id long, x double, y double")
+    got = cluster_density(df, ["x", "y"], df.selectExpr("node_id", "0 as cluster"), "t").first()["t_cluster_density"]
+    square = [(a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 for a, b in itertools.combinations(points, 2)]
+    assert abs(got - math.sqrt(sum(square) / len(square))) < 1e-9
+
+
+def test_repeated_columns_get_free_names(spark):
+    from ringsight.sources.sinks import concat_features
+
+    df = spark.createDataFrame([(1, 1, 2)], "node_id long, f1 int, f1_1 int")
+    out = concat_features([df.select("node_id", "f1"), df.select("node_id", "f1"), df.select("node_id", "f1_1")])
+    assert len(set(out.columns)) == 4 and out.columns[:2] == ["node_id", "f1"]

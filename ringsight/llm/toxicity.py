@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ringsight.llm.wordhash import SYMBOLS, Words, mix, slices
 
-CLASS_DOCS = 5_000  # labelled rows of each class in the training sample, at most
-SAMPLE_BYTES = 32 << 20  # of their texts together
+CLASS_DOCS = 4_000  # labelled rows of each class in the training sample, at most
+SAMPLE_BYTES = 20 << 20  # of their texts together
 BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
 PASSAGE = 8  # words
@@ -165,7 +165,11 @@ def train(texts: list[str], labels: np.ndarray, prior: float) -> Model:
 
     def passage_scores() -> np.ndarray:
         weight, b = line()
-        return np.add.reduceat(weight[slots], edges[:-1]) / np.diff(edges) + b
+        out = np.empty(len(doc))
+        for lo in range(0, len(doc), 1 << 16):  # in parts, to hold few numbers at once
+            cut = edges[lo : lo + (1 << 16) + 1]
+            out[lo : lo + (1 << 16)] = np.add.reduceat(weight[slots[cut[0] : cut[-1]]], cut[:-1] - cut[0]) / np.diff(cut) + b
+        return out
 
     use = np.flatnonzero(fitted[doc])
     for _ in range(EPOCHS[0]):

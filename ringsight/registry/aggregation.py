@@ -181,8 +181,8 @@ RISK_OUT = "select node_id, " + ", ".join(
 TWO_IN = ("hop2 as (select distinct a.node, b.nbr from ins a join ins b on a.nbr = b.node where a.node <> b.nbr "
           "and not exists (select 1 from ins c where c.node = a.node and c.nbr = b.nbr))")
 R.add("a10_riskstat", graph_query(neighbours.riskstat), settled(RISKS + [TWO_IN], RISK_OUT.format(one="ins", two="hop2")))
-R.add("a11_riskstat_sampled", graph_query(lambda g: neighbours.riskstat_sampled(g, 20, 50)), settled(
-    RISKS + [near("ins", 20), BEYOND.format(src="ins"), FIRST.format(h=NBR_HASH, t="hop2", k=50)],
+R.add("a11_riskstat_sampled", graph_query(neighbours.riskstat_sampled), settled(
+    RISKS + [near("ins", 100), BEYOND.format(src="ins"), FIRST.format(h=NBR_HASH, t="hop2", k=50)],
     RISK_OUT.format(one="near", two="picked")))
 
 SUMMARY = "count(*) as pairs, sum(nbr) as nbr_sum, min(nbr) as nbr_min, max(nbr) as nbr_max"

@@ -112,10 +112,10 @@ def family_sql(k, chain_k):
     }
 
 
-K, CHAIN_K = hops.K, 5
+K = hops.K
 R.add("h0_sample_k_per_key", sampled, f"with {EDGES} select {WHOLE} from {top('src', K)}")
-for number, (name, sql) in enumerate(family_sql(K, CHAIN_K).items(), start=1):
-    R.add(f"h{number}_{name}", family(name, CHAIN_K if name == "transaction_chain" else K), sql)
+for number, (name, sql) in enumerate(family_sql(K, K).items(), start=1):
+    R.add(f"h{number}_{name}", family(name, K), sql)
 
 
 def intervals(spark, folder):
@@ -139,7 +139,6 @@ def types_query(spark, folder):
 R.add("n0b_top_types", types_query, f"with {', '.join([EDGES] + und_ctes('edges', K))} select edge_type, count(*) as n "
       "from und_k group by edge_type order by n desc, edge_type limit 3")
 
-SMALL_K = 5
-R.add("n0c_build_all", lambda spark, folder: settle(hops.all_hop_features(order_graph(spark, folder), SMALL_K, TYPES)),
+R.add("n0c_build_all", lambda spark, folder: settle(hops.all_hop_features(order_graph(spark, folder), K, TYPES)),
       "select * from " + " join ".join(
-          f"({sql}) t{i}" + (" using (node_id)" if i else "") for i, sql in enumerate(family_sql(SMALL_K, SMALL_K).values())))
+          f"({sql}) t{i}" + (" using (node_id)" if i else "") for i, sql in enumerate(family_sql(K, K).values())))

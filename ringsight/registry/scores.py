@@ -136,7 +136,7 @@ TERMS = [f"f{i}" for i in range(8)] + [f"f{i}*f{j}" for i in range(8) for j in r
 R.add("x1_polynomial", on_scaled(mixed.polynomial), settled([NODES, SCALED], "select node_id, " + ", ".join(
     f"{t} as poly_feat_{i}" for i, t in enumerate(TERMS[:20])) + " from scaled"))
 R.add("x2_pca", on_scaled(mixed.pca_components))
-R.add("x3_ica", on_scaled(lambda rows, names: mixed.ica_components(rows, names, k=5, iterations=30)))
+R.add("x3_ica", on_scaled(lambda rows, names: mixed.ica_components(rows, names)))
 G = gaussian(10, 10) / 10**0.5
 R.add("x4_random_projection", on_scaled(mixed.random_projection), settled([NODES, SCALED], "select node_id, " + ", ".join(
     "+".join(f"f{j}*({float(G[j, i])!r})" for j in range(10)) + f" as random_proj_{i}" for i in range(10)) + " from scaled"))

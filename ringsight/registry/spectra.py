@@ -152,7 +152,7 @@ R.add("l14_heterophily_stats", lambda spark, folder: settle(spectral.heterophily
 R.add("l15_ppr_augment", lambda spark, folder: settle(spectral.ppr_augment(order_graph(spark, folder), steps=4), ("src", "dst")))
 
 # --- embeddings ----------------------------------------------------------------------------------
-R.add("e1_adjacency_svd", graph_query(lambda g: embed.adjacency_svd(g, k=16)))
+R.add("e1_adjacency_svd", graph_query(embed.adjacency_svd))
 
 
 def unit_sql(ctes, inner, names):
@@ -184,11 +184,11 @@ R.add("e5_gcn_embedding", graph_query(embed.gcn_embedding))
 R.add("e5_gcn_block", graph_query(embed.gcn_block), settled(BASE + [sym("0"), step("px", "nodes", FS)], "select n.node_id, " + ", ".join(
     f"n.{c}, p.{c} as p_{c}, n.{c}*p.{c} as x_{c}, abs(n.{c}-p.{c}) as d_{c}" for c in FS) + " from nodes n join px p using (node_id)"))
 WALK = ["numbered as (select *, row_number() over (partition by node order by nbr) - 1 as num, count(*) over (partition by node) as d from und)",
-        "walk0 as (select node_id as start, w as walk, node_id as cur from nodes, (select unnest(range(5)) as w))"]
-for k in range(1, 7):
+        "walk0 as (select node_id as start, w as walk, node_id as cur from nodes, (select unnest(range(20)) as w))"]
+for k in range(1, 11):
     WALK.append(f"""walk{k} as materialized (select x.start, x.walk, n.nbr as cur from walk{k-1} x join numbered n on n.node = x.cur and n.num =
      (cast(('0x' || substr(md5(concat_ws('|','42',cast(x.start as varchar),cast(x.walk as varchar),'{k}')),1,8)) as bigint) % n.d){'' if k == 1 else ' where x.cur <> x.start'})""")
-VISITS = "visits as (" + " union all ".join(f"select *, {k} as step from walk{k}" for k in range(1, 7)) + ")"
-R.add("e6_random_walk_stats", graph_query(lambda g: embed.random_walk_stats(g, walks=5, length=6)), settled(BASE + WALK + [VISITS], """
-  select node_id, rw_return_prob, rw_avg_return_steps, rw_visited_nodes from nodes left join (select start, count(*) filter (cur=start)/5.0 as rw_return_prob,
-   avg(step) filter (cur=start) as rw_avg_return_steps, count(distinct cur)/6.0 as rw_visited_nodes from visits group by start) v on v.start = node_id"""))
+VISITS = "visits as (" + " union all ".join(f"select *, {k} as step from walk{k}" for k in range(1, 11)) + ")"
+R.add("e6_random_walk_stats", graph_query(embed.random_walk_stats), settled(BASE + WALK + [VISITS], """
+  select node_id, rw_return_prob, rw_avg_return_steps, rw_visited_nodes from nodes left join (select start, count(*) filter (cur=start)/20.0 as rw_return_prob,
+   avg(step) filter (cur=start) as rw_avg_return_steps, count(distinct cur)/10.0 as rw_visited_nodes from visits group by start) v on v.start = node_id"""))

@@ -31,7 +31,9 @@ DIGIT = re.compile("[0-9]")
 DIGESTS = {32, 40, 56, 64, 96, 128}  # hex digits of MD5, SHA-1 and the SHA-2 family
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 # Words of letters with at most a short number each, joined by dashes, slashes or underscores, or in camel case.
-NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[0-9]{0,4}[-_/+=]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))*[0-9]{0,4}[-_/=]*")
+NAME = re.compile(  # possessive: never tried another way, so long strings cost one pass
+    r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)(?:[-_/+=]*+[0-9]{0,4}+[-_/+=]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+))*+[-_/=]*+[0-9]{0,4}+[-_/=]*+"
+)
 
 
 class _Encodings:

@@ -20,7 +20,8 @@ from ringsight.llm.wordhash import ODD, Words, mix, slices
 
 BUCKETS = 1 << 18
 TARGET_DOCS = 20_000  # labelled rows of each class used, at most; raw counts cover all documents
-SMOOTHING = 0.5
+PSEUDO = 2.0  # added to the count of every bucket in both models
+REJECT_COST = 3.0  # of rejecting a good document, against keeping a bad one
 SEED = 20
 
 
@@ -60,33 +61,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     drawn = stored(_drawn_labels(labels))  # at most 2 * TARGET_DOCS rows of two numbers
     marked = columns_of(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id", "left")
+    # Half of the drawn rows fit the target, the others set the cut: their weights are like those of unlabelled rows.
+    half = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2))
+    marked = marked.withColumn("_fits", F.when((F.col("_good") == 1) & (half == 0), 1)).withColumn("_cuts", F.when(half == 1, F.col("_good")))
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in slices(batches):
             bucket, row = _features(Words(part.column("text")))
-            good = part.column("_good").fill_null(0).to_numpy(zero_copy_only=False) == 1
+            good = part.column("_fits").fill_null(0).to_numpy(zero_copy_only=False) == 1
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[good[row]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["b", "raw", "target"])
 
     counts = (
-        marked.select("text", "_good").mapInArrow(count, "b bigint, raw bigint, target bigint")
+        marked.select("text", "_fits").mapInArrow(count, "b bigint, raw bigint, target bigint")
         .groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     )
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["b"]], target[counts["b"]] = counts["raw"], counts["target"]
-    share = lambda x: (x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS)
-    ratio = np.log(share(target)) - np.log(share(raw))
+    # The raw counts are brought to the size of the target, so that a bucket too rare to tell says nothing.
+    scale = target.sum() / max(raw.sum(), 1.0)
+    ratio = np.log(target + PSEUDO) - np.log(raw * scale + PSEUDO)
     model = Model(ratio, -np.inf)
-    scored = weigh(marked.where("_good is not null"), model, "_w").select("_w", "_good").where("_w is not null").toPandas()
-    good, bad = (np.sort(scored["_w"][scored["_good"] == v].to_numpy()) for v in (1, 0))
+    scored = weigh(marked.where("_cuts is not null"), model, "_w").select("_w", "_cuts").where("_w is not null").toPandas()
+    good, bad = (np.sort(scored["_w"][scored["_cuts"] == v].to_numpy()) for v in (1, 0))
     if len(good) and len(bad):
-        # The cut with the fewest errors, as shares of each class; in the middle of its gap.
+        # The cut with the least cost of errors, as shares of each class; in the middle of its gap.
         at = np.unique(np.concatenate([good, bad]))
         edges = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2])
-        loss = np.searchsorted(good, edges) / len(good) + 1 - np.searchsorted(bad, edges) / len(bad)
+        loss = REJECT_COST * np.searchsorted(good, edges) / len(good) + 1 - np.searchsorted(bad, edges) / len(bad)
         best = np.flatnonzero(loss <= loss.min() + 1e-12)
         gap = np.diff(np.concatenate([[at[0] - 2], at]))[best]
         model.cut = float(edges[best[np.argmax(gap)]])

@@ -25,8 +25,8 @@ SHARE = 0.5  # of an item's score with itself that a passage must reach
 OVERLAP = 0.6  # of the n-grams of question and of answer that must be in the passage
 NGRAM = 3
 LEAST = 5  # words of a question or an answer
-BLOCK = 32  # items to a block of the index
-PART_ITEMS = 20_000  # items indexed and sent to the executors at once
+BLOCK = 4  # items to a block of the index
+PART_ITEMS = 512  # items indexed and sent to the executors at once; block maxima are held per word of a slice
 
 
 @dataclass

@@ -6,7 +6,8 @@ share of the score an item gives itself), so a pair counts from a sum of 1. Item
 blocks with the largest impact of every term. A passage whose sum of block maxima stays under 1
 has no match in that block; the others are searched by block-max WAND, which skips items and
 blocks that can't reach 1. All items above the threshold are returned and then verified by the
-word n-grams of question and answer found in the passage.
+word n-grams of question and answer found in the passage. Texts and items are compared without case
+in all scripts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ringsight.llm.common import columns_of, free_name
 from ringsight.llm.wordhash import ODD, SYMBOLS, Words, mix, slices
@@ -41,6 +42,11 @@ class Index:
     answer: list[tuple[int, np.ndarray]]
 
 
+def _folded(text: Column) -> Column:
+    """Without case in any script; ß and ς, which capitals don't keep apart, count as ss and σ."""
+    return F.replace(F.replace(F.lower(text.cast("string")), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def split_item(words: int, sentence_ends: list[int]) -> int:
     """Words of the question: all sentences but the last few, so that both parts have LEAST words; three
     quarters where no sentence ends so. An item of fewer than 2 * LEAST words is not split (0)."""
@@ -191,7 +197,7 @@ def _matches(index: Index, words: Words) -> list[list[tuple[int, float, float, f
 
 def _parts(benchmark: DataFrame):
     """Indexes of all items, PART_ITEMS at a time; document frequencies are those of all items."""
-    rows = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce(_folded(F.col("text")), F.lit("")).alias("text"))
 
     def count(batches):
         for part in slices(batches):
@@ -222,7 +228,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Repeated rows of ``docs`` and repeated items give repeated pairs; null ids are carried as
     they are. Other columns are ignored.
     """
-    docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), _folded(docs["text"]).alias("text"))
     schema = "doc_id bigint, item_id bigint, bm25_share double, question_overlap double, answer_overlap double"
     out: DataFrame | None = None
     for built in _parts(benchmark):
@@ -256,5 +262,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean = pa.array([not hits for hits in per], pa.bool_())
                 yield part.filter(clean).remove_column(part.schema.get_field_index(text))
 
-        out = out.withColumn(text, F.col("text").cast("string")).mapInArrow(each, docs.schema)
+        out = out.withColumn(text, _folded(F.col("text"))).mapInArrow(each, docs.schema)
     return out

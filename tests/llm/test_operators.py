@@ -303,6 +303,16 @@ def test_benchmark_pairs(docs, rows, items, nothing):
     assert contaminated_pairs(docs, items.where("false")).count() == 0 and decontaminated(docs, items.where("false")).count() == len(rows)
 
 
+def test_benchmark_copies_in_capitals(spark):
+    """Capitals of letters beyond A-Z, in the document or in the item."""
+    said = "¿Cuántos años vivió el ñandú más anciano según él? Vivió según mi búsqueda détrás über großen Ärger áéíóú."
+    items = spark.createDataFrame([(1, said)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, f"{prose(1, 30)} {said.upper()} {prose(2, 30)}"), (1, f"{prose(3, 30)} {said} {prose(4, 30)}"), (2, prose(5, 60))], "doc_id long, text string")
+    assert pairs(contaminated_pairs(docs, items), "doc_id", "item_id") == [(0, 1), (1, 1)]
+    assert pairs(contaminated_pairs(docs, items.withColumn("text", F.upper("text"))), "doc_id", "item_id") == [(0, 1), (1, 1)]
+    assert decontaminated(docs, items).collect() == docs.where("doc_id = 2").collect()
+
+
 def test_wand_finds_all_above_the_threshold():
     """Block-max WAND against scoring every item."""
     from collections import Counter

@@ -5,8 +5,9 @@ item lies whole in one of them. The index holds impacts divided by each item's t
 share of the score an item gives itself), so a pair counts from a sum of 1. Items stand in
 blocks with the largest impact of every term. A passage whose sum of block maxima stays under 1
 has no match in that block; the others are searched by block-max WAND, which skips items and
-blocks that can't reach 1. All items above the threshold are returned and then verified by the
-word n-grams of question and answer found in the passage. Texts and items are compared without case
+blocks that can't reach 1. All items above the threshold are returned and then verified: question and
+answer must both be in the passage, by their word n-grams or, where changed words have broken too many
+of these, as a run of words with few edits. The threshold lets any one word be changed. Texts and items are compared without case
 in all scripts.
 """
 
@@ -24,6 +25,7 @@ from ringsight.llm.wordhash import ODD, SYMBOLS, Words, mix, slices
 K1, B = 1.2, 0.75
 SHARE = 0.5  # of an item's score with itself that a passage must reach
 OVERLAP = 0.6  # of the n-grams of question and of answer that must be in the passage
+ALIGNED = 0.75  # or 1 - edits / words of the best aligned run; one changed word in four to seven
 NGRAM = 3
 LEAST = 5  # words of a question or an answer
 BLOCK = 4  # items to a block of the index
@@ -38,8 +40,9 @@ class Index:
     block_most: np.ndarray  # and by block; a row of zeros at the end for other words
     window: int  # words in half a passage
     ids: list[int | None]
-    question: list[tuple[int, np.ndarray]]  # n, and the hashed n-grams
-    answer: list[tuple[int, np.ndarray]]
+    share: np.ndarray  # of its score with itself that finds an item
+    question: list[tuple[int, np.ndarray, np.ndarray]]  # n, the hashed n-grams, the words
+    answer: list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def _folded(text: Column) -> Column:
@@ -66,17 +69,49 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(out + np.uint64(n)))
 
 
-def _part(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """n and the n-grams of a question or an answer; n is NGRAM, or less for fewer words."""
+def _part(h: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """n, the n-grams and the words of a question or an answer; n is NGRAM, or less for fewer words."""
     n = max(1, min(NGRAM, len(h)))
-    return n, _grams(h, n)
+    return n, _grams(h, n), h
+
+
+def fewest_edits(part: list[int], passage: list[int]) -> int:
+    """Words to change, drop or add so that ``part`` is a run of words of ``passage`` (Myers' bit vectors)."""
+    if not part:
+        return 0
+    full, top = (1 << len(part)) - 1, 1 << (len(part) - 1)
+    at: dict[int, int] = {}
+    for i, word in enumerate(part):
+        at[word] = at.get(word, 0) | 1 << i
+    up, down, edits = full, 0, len(part)
+    fewest = edits
+    for word in passage:
+        same = at.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        edits += (more & top > 0) - (less & top > 0)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (full & ~(same | down | more)), more & (same | down)
+        fewest = min(fewest, edits)
+    return fewest
+
+
+def _overlap(part: tuple[int, np.ndarray, np.ndarray], passage: np.ndarray) -> float:
+    """Share of the n-grams in the passage, or of the words of the best aligned run where only that is enough."""
+    n, grams, words = part
+    share = float(np.isin(grams, _grams(passage, n)).mean())
+    if share < OVERLAP and np.isin(words, passage).mean() >= ALIGNED:
+        aligned = 1 - fewest_edits(words.tolist(), passage.tolist()) / len(words)
+        if aligned >= ALIGNED:
+            return aligned
+    return share
 
 
 def build(rows: list[tuple[int | None, str]], df: dict[int, int], items: int, mean: float) -> Index:
     """``df``, ``items`` and ``mean`` are the statistics of all items, also of other parts."""
     words = Words(pa.array([t for _, t in rows], pa.large_string()), blank=SYMBOLS)
     h = words.hashes
-    ids, question, answer, each = [], [], [], []
+    ids, question, answer, each, share = [], [], [], [], np.full(len(rows), SHARE)
     for r, (item, _) in enumerate(rows):
         lo, hi = words.rows[r], words.rows[r + 1]
         own = h[lo:hi]
@@ -94,7 +129,10 @@ def build(rows: list[tuple[int | None, str]], df: dict[int, int], items: int, me
         n = np.array([df[int(t)] for t in term], float)
         idf = np.log(1 + (items - n + 0.5) / (n + 0.5))
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean))
-        for t, x in zip(term.tolist(), impact / (SHARE * impact.sum())):
+        if tf.sum() * (1 - ALIGNED) >= 1 and len(term) > 1:
+            # What stays without the heaviest word.
+            share[i] = min(SHARE, (1 - impact.max() / impact.sum()) * (1 - 1e-6))
+        for t, x in zip(term.tolist(), impact / (share[i] * impact.sum())):
             postings.setdefault(t, []).append((i, x))
     terms = np.array(sorted(postings), np.uint64)
     lists = [(np.array([i for i, _ in postings[t]]), np.array([x for _, x in postings[t]])) for t in terms.tolist()]
@@ -103,7 +141,7 @@ def build(rows: list[tuple[int | None, str]], df: dict[int, int], items: int, me
         np.maximum.at(block_most[k], at // BLOCK, x.astype(np.float32))
     longest = max([1, *np.diff(words.rows).tolist()])
     most = np.array([x.max() for _, x in lists])
-    return Index(terms, lists, most, block_most * np.float32(1.0001), longest, ids, question, answer)
+    return Index(terms, lists, most, block_most * np.float32(1.0001), longest, ids, share, question, answer)
 
 
 def search(index: Index, terms: list[int]) -> list[tuple[int, float]]:
@@ -181,11 +219,9 @@ def _matches(index: Index, words: Words) -> list[list[tuple[int, float, float, f
             continue
         hits = search(index, terms.tolist())
         for item, score in hits:
-            shares = []
-            for n, part in (index.question[item], index.answer[item]):
-                shares.append(float(np.isin(part, _grams(h[lo:hi], n)).mean()))
+            shares = [_overlap(part, h[lo:hi]) for part in (index.question[item], index.answer[item])]
             if min(shares) >= OVERLAP:
-                out[row].append((item, round(score * SHARE, 9), *shares))
+                out[row].append((item, round(score * float(index.share[item]), 9), *shares))
     for r, hits in enumerate(out):
         best: dict[int, tuple] = {}
         for hit in hits:
@@ -224,6 +260,8 @@ def _parts(benchmark: DataFrame):
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, bm25_share, question_overlap, answer_overlap)`` for every copied item of every row.
 
+    An overlap is the share of the word n-grams found, or, where that is under OVERLAP, 1 - edits / words
+    of the best aligned run. An item of fewer than four words is found by whole n-grams only.
     Null or empty texts match nothing, on either side; an item without words is never found.
     Repeated rows of ``docs`` and repeated items give repeated pairs; null ids are carried as
     they are. Other columns are ignored.

@@ -313,6 +313,37 @@ def test_benchmark_copies_in_capitals(spark):
     assert decontaminated(docs, items).collect() == docs.where("doc_id = 2").collect()
 
 
+def test_benchmark_copies_with_one_word_changed(spark):
+    """Every item is found with any one of its words changed, its answer as short as 5 words, its rare word gone."""
+    texts = [f"{prose(200 + n, 14).capitalize()}. {prose(300 + n, n).capitalize()}." for n in range(5, 10)]
+    texts += [prose(400 + n, n) for n in range(4, 13)]
+    common = prose(450, 9)  # in most items, so that a rare word weighs more than the nine together
+    texts += [f"{common} {prose(460 + k, 1)}" for k in range(30)] + [common + " uniqueword"]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    rows = [(1000 * i + at, f"{prose(500 + i, 40)} {near(t, at)} {prose(600 + i, 40)}") for i, t in enumerate(texts) for at in range(len(t.split()))]
+    rows += [(-1, prose(700, 60) + " " + texts[0].split(". ")[0] + " " + prose(701, 60)), (-2, " ".join(reversed(texts[0].split())))]
+    got = {(r.doc_id, r.item_id) for r in contaminated_pairs(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {(d, d // 1000) for d, _ in rows if d >= 0} <= got
+    assert not any(d < 0 for d, _ in got)
+    assert all(i == d // 1000 for d, i in got if d < 14000)
+
+
+def test_fewest_edits():
+    """Against the plain table of distances."""
+    from ringsight.llm.decontaminate import fewest_edits
+
+    rng = random.Random(9)
+    for _ in range(300):
+        part, passage = ([rng.randint(0, 4) for _ in range(rng.randint(0, n))] for n in (9, 30))
+        row, best = list(range(len(part) + 1)), len(part)
+        for word in passage:
+            new = [0]
+            for i, own in enumerate(part):
+                new.append(min(row[i] + (own != word), row[i + 1] + 1, new[i] + 1))
+            row, best = new, min(best, new[-1])
+        assert fewest_edits(part, passage) == best
+
+
 def test_wand_finds_all_above_the_threshold():
     """Block-max WAND against scoring every item."""
     from collections import Counter

@@ -274,6 +274,42 @@ def test_licences_brute_force(spark):
     assert {r.doc_id: r.licences for r in got} == want
 
 
+def test_licences_inside_lines(spark):
+    """Every known notice, header and text is found inside a longer line, also one without any line breaks."""
+    from ringsight.llm.licences import whole_texts
+
+    every = {**TEMPLATES, **whole_texts()}
+    texts = [f"{prose(i, 30)} copyright 2020 x. {' '.join(t.split())} {prose(100 + i, 30)}\n{prose(i, 9)}" for i, t in enumerate(every.values())]
+    got = {r.doc_id: r for r in find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, name in enumerate(every):
+        found = dict(x.split("=") for x in f"{got[i].licences};{got[i].inside}".split(";") if x)
+        assert float(found[name]) >= 0.8 and len(found) == got[i].n_licences and got[i].lines == "0-0", name
+    short = find_licences(spark.createDataFrame([(1, "Copyright 2020 X. All rights reserved.")], "doc_id long, text string")).first()
+    assert (short.licence, short.lines, short.licences, short.inside) == ("Reserved", "0-0", "", "Reserved=1.0000")
+    assert {"Apache-2.0 text", "GPL-3.0 text", "MPL-2.0 text", "LGPL-2.1 text", "BSD-3-Clause text", "Unlicense text", "AGPL-3.0 header"} <= set(every)
+
+
+def test_licence_windows_brute_force(spark):
+    """All runs of words of texts on one line, where the whole line is no match."""
+    rng = random.Random(6)
+    known = {"a": "one two three four five six", "b": "all rights reserved", "c": "two three seven one two three eight nine"}
+    texts = [" ".join(rng.choice(sum((t.split() for t in known.values()), ["x", "y"])) for _ in range(rng.randint(2, 12))) for _ in range(60)]
+    texts += [" ".join(f"{rng.choice('xyz')} {rng.choice(['two three', '', 'x'])} {t}" for t in rng.sample(sorted(known.values()), 2)) + " x y" for _ in range(60)]
+    grams = lambda w: {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+    dice = lambda g, h: 2 * len(g & h) / max(1, len(g) + len(h))
+    want = {}
+    for i, text in enumerate(texts):
+        w, parts = text.split(), ({}, {})
+        for name, t in known.items():
+            own = grams(t.split())
+            whole = dice(grams(w), own)
+            part = max(dice(grams(w[a:b]), own) for a in range(len(w)) for b in range(a + 1, len(w) + 1))
+            parts[whole < 0.8][name] = part if whole < 0.8 else whole
+        want[i] = tuple(";".join(f"{n}={x[n]:.4f}" for n in known if x.get(n, 0) >= 0.8) for x in parts)
+    got = find_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).collect()
+    assert {r.doc_id: (r.licences, r.inside) for r in got} == want and sum(bool(x) for _, x in want.values()) > 50
+
+
 def brute_rules(text):
     w = WORD.findall(text)
     grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]

@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction, in SQL functions only.
 
 Base spans come from four regular expressions with their checks. They seed a bootstrap: every
-token with digits (and every seed) is an instance, the words around it are its lexical patterns. Pattern and
+token with a digit or an @ is an instance (numbers with one space between them are one), the words around
+it are its lexical patterns. Pattern and
 instance scores are computed in turns on their graph: a pattern's confidence is the mean score
 of its distinct instances, an instance takes the best confidence of its accepted patterns, and
 seeds stay at 1. Instances that reach the threshold are identifiers the expressions don't know.
@@ -17,7 +18,6 @@ KINDS = ("email", "ip", "card", "phone", "learned")
 ROUNDS = 3
 CONFIDENCE = 0.9  # of an accepted pattern and of a learned instance
 SUPPORT = 3  # distinct seed instances that a pattern must have met
-LEAST_DIGITS = 5  # of a token that can be an identifier and is no seed
 CONTEXT = 80  # characters looked at on either side
 PUNCTUATION = "\"'`.,;:!?()[]{}<>|*#$%&=~^/\\_-"
 
@@ -37,7 +37,12 @@ GATES = {
     "card": r"{t} rlike '[0-9](?:[\\x20-]?[0-9]){{15}}'",
     "phone": "instr({t}, '+') > 0",
 }
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+NUMBER = r"[(+]*+[0-9][0-9().+/-]*+(?![^\x20\x09-\x0D,;:!?])"
+# Two numbers or more, as far as they go, or one token.
+TOKEN = (
+    rf"(?<![^\x20\x09-\x0D])(?:{NUMBER}(?:\x20{NUMBER})++[,;:!?]*+(?![^\x20\x09-\x0D])"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
 SPAN = "array<struct<k:int,s:int,e:int>>"
 
@@ -111,7 +116,7 @@ def _context(piece: Column, last: bool) -> Column:
 
 
 def _tokens(text: str, base: str) -> Column:
-    """Tokens with digits or @: trimmed span, token, the two words on either side, and whether it is (in) a base span."""
+    """Tokens with digits or @, and runs of numbers: trimmed span, token, the two words on either side, and whether it is (in) a base span."""
     kind = "array<struct<s:int,e:int,token:string,left:string,right:string,seed:boolean>>"
     walked = _walk(F.col(text), TOKEN)
     after = F.slice(F.split(F.col(text), TOKEN, -1), F.lit(2), F.lit(2147483647))
@@ -127,10 +132,9 @@ def _tokens(text: str, base: str) -> Column:
             s.alias("s"), e.alias("e"), bare.alias("token"), _context(x["p"], True).alias("left"),
             _context(x["q"], False).alias("right"), seed.alias("seed"),
         )
-        wide = F.length(F.regexp_replace(x["m"], "[^0-9]", "")) >= LEAST_DIGITS
         return F.struct(
             F.coalesce(start + x["b"], acc["pos"]).alias("pos"),
-            F.when(x["m"].isNotNull() & (wide | seed), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"),
+            F.when(x["m"].isNotNull() & (bare != ""), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))

@@ -234,6 +234,29 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got.where("n_learned > 0").count() == 1
 
 
+def test_patterns_find_short_identifiers(spark):
+    """Tokens with few digits, a handle and a number in parts, in a context that seeds fill; nothing elsewhere."""
+    short = ["jdoe42", "ref-7", "@jdoe", "555 123 4567"]
+    say = lambda x: f"please write to customer desk {x} for more help"
+    texts = [say(f"user{i}@site.example.com") for i in range(60)] + [say(x) for x in short] + ["chapter 12 of 345 in rev-9 and 20 30 40"]
+    docs = spark.createDataFrame([(i, f"{prose(i, 8)} {t} {prose(i + 100, 8)}") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_personal_data(docs).collect()}
+    for i, x in enumerate(short, 60):
+        start = len(prose(i, 8)) + len(say("|").split("|")[0]) + 1
+        assert got[i].spans == f"learned:{start}:{start + len(x)}", x
+    assert sum(r.n_learned for r in got.values()) == len(short)
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert all(say("[LEARNED]") in clean[i] for i in range(60, 64)) and texts[64] in clean[64]
+
+
+def test_number_runs_are_one_token():
+    """Two numbers or more with one space between; the plain token where a part is no number."""
+    from ringsight.llm.personal_data import TOKEN
+
+    said = "call 555 123 4567, or (020) 7946-0958; at 12 30th floor a1 22  33\n44 x@y 7"
+    assert [m[0] for m in re.finditer(TOKEN, said)] == ["555 123 4567,", "(020) 7946-0958;", "12", "30th", "a1", "22", "33", "44", "x@y", "7"]
+
+
 def test_redact(docs, rows):
     clean = redact(docs)
     assert clean.columns == docs.columns and clean.count() == len(rows)

@@ -10,9 +10,12 @@ from ringsight.llm.jaccard_join import jaccard_classes
 from ringsight.llm.licences import find_licences
 from ringsight.llm.mixing import mix_sources, mixing_sql
 from ringsight.llm.personal_data import find_personal_data
+from ringsight.llm.prefix_trie import prefix_trie, trie_sql
 from ringsight.llm.quality import resample
 from ringsight.llm.quality_rules import RULES_SQL, judge
 from ringsight.llm.secrets import find_secrets
+from ringsight.llm.sharding import assign_shards, shards_sql
+from ringsight.llm.simplex_clusters import cluster_vectors, clusters_sql
 from ringsight.llm.token_counts import count_tokens
 from ringsight.llm.toxicity import score_toxicity
 
@@ -79,3 +82,18 @@ def op9(spark, sf_dir):
 @register("op10_ngram_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@register("op11_centroid_clustering", clusters_sql())
+def op11(spark, sf_dir):
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("n_compared")
+
+
+@register("op12_sharding", shards_sql())
+def op12(spark, sf_dir):
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_prefix_trie", trie_sql())
+def op13(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))

@@ -17,8 +17,8 @@ def test_matches_sql(spark, name):
     assert difference(spark_rows(QUERIES[name](spark, FOLDER)), duck_rows(duck(FOLDER), ORACLES[name])) is None
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):

@@ -143,7 +143,7 @@ def plain_trie(rows):
     built = {}
     for c, s in own.items():
         h = zlib.crc32(str(c).encode()) % 4
-        built[c] = own.get(c - c % 20, [])[:h] + s[h:]
+        built[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + s[h:]
     members, ends = defaultdict(set), defaultdict(list)
     for c, s in sorted(built.items()):
         for d in range(len(s) + 1):

@@ -12,6 +12,7 @@ from ringsight.functions.sampling import first_k
 from ringsight.functions.scalars import SEED, finite, mean_of, one_row, pop_std_of, safe_div, seeded_hash, seeded_unit, total
 from ringsight.graph import FraudGraph
 from ringsight.operators.columns import moments
+from ringsight.operators.nearest import nearest_rows, points_of
 from ringsight.operators.structure import undirected_degree
 from ringsight.session import cut_lineage
 
@@ -109,35 +110,27 @@ def isolation_forest(rows: DataFrame, columns: list[str], trees: int = 100, samp
 
 # --- O2: local outlier factor --------------------------------------------------------------------------
 
-def local_outlier_factor(
-    rows: DataFrame, columns: list[str], k: int = 20, sample: int = 5000, seed: int = SEED
-) -> DataFrame:
-    """O2: outlier factor against a seeded reference of at most ``sample`` rows; higher is more anomalous."""
-    block = seeded_sample(rows.select("node_id", *columns), sample, f"{seed}lof").toPandas()
-    ids, ref = block["node_id"].to_numpy(), block[columns].to_numpy(dtype=float)
-    k = min(k, len(ref) - 1)
-
-    def closest(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        away = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ ref.T + (ref**2).sum(1)[None, :], 0.0))
-        away[own[:, None] == ids[None, :]] = np.inf
-        near = np.argpartition(away, k - 1, axis=1)[:, :k]
-        return near, np.take_along_axis(away, near, axis=1)
-
-    near, away = closest(ref, ids)
-    reach = away.max(axis=1)
-    dense = 1.0 / (np.maximum(away, reach[near]).mean(axis=1) + 1e-10)
-    shared = rows.sparkSession.sparkContext.broadcast((reach, dense))
+def local_outlier_factor(rows: DataFrame, columns: list[str], k: int = 20, seed: int = SEED) -> DataFrame:
+    """O2: outlier factor from the k nearest of all rows; higher is more anomalous.
 
-    def score(batches):
-        reach_of, dense_of = shared.value
-        for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start : start + 2000]
-                n, a = closest(part[columns].to_numpy(dtype=float), part["node_id"].to_numpy())
-                own = 1.0 / (np.maximum(a, reach_of[n]).mean(axis=1) + 1e-10)
-                yield pd.DataFrame({"node_id": part["node_id"], "raw": dense_of[n].mean(axis=1) / own})
-
-    return _minmax(rows.select("node_id", *columns).mapInPandas(score, "node_id bigint, raw double"), "raw", "lof_score")
+    The neighbours are exact (``nearest_rows``): equal rows are neighbours at distance 0, ties go to the
+    smaller id, and rows that are equal get one score. ``seed`` only chooses the cells.
+    """
+    clean, points = points_of(rows, columns)
+    points = cut_lineage(points)
+    near = cut_lineage(nearest_rows(points, k, seed))
+    reach = near.groupBy(F.col("pid").alias("near")).agg(F.max("away").alias("kth"))
+    met = near.join(reach, "near")
+    dense = cut_lineage(met.groupBy("pid").agg(
+        (1 / (F.sum(F.greatest("away", "kth") * F.col("copies")) / F.sum("copies") + 1e-10)).alias("dense")
+    ))
+    around = near.join(dense.withColumnRenamed("pid", "near"), "near").groupBy("pid").agg(
+        (F.sum(F.col("dense") * F.col("copies")) / F.sum("copies")).alias("around")
+    )
+    scores = around.join(dense, "pid").select("pid", (F.col("around") / F.col("dense")).alias("raw"))
+    placed = points.join(scores, "pid", "left").select(*[F.col("x")[i].alias(c) for i, c in enumerate(columns)], "raw")
+    # A row without any other has no neighbours: as dense as its surroundings.
+    return _minmax(clean.join(placed, columns).select("node_id", F.coalesce("raw", F.lit(1.0)).alias("raw")), "raw", "lof_score")
 
 
 # --- O3: Mahalanobis --------------------------------------------------------------------------------------

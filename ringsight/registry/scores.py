@@ -97,7 +97,12 @@ R.add("k8_degree_cluster", graph_query(cluster.degree_cluster), settled(BASE + [
 
 # --- anomaly --------------------------------------------------------------------------------------
 R.add("o1_isolation_forest", on_scaled(anomaly.isolation_forest))
-R.add("o2_lof", on_scaled(anomaly.local_outlier_factor))
+R.add("o2_lof", on_scaled(anomaly.local_outlier_factor), settled([NODES, SCALED,
+    f"near as (select a.node_id as i, b.node_id as j, sqrt({DIST2}) as d from scaled a join scaled b on a.node_id <> b.node_id qualify row_number() over (partition by a.node_id order by d, b.node_id) <= 20)",
+    "kth as (select i, max(d) as kd from near group by i)",
+    "dense as (select n.i, 1/(avg(greatest(d, kd))+1e-10) as lrd from near n join kth k on k.i = n.j group by n.i)",
+    "factor as (select n.i, avg(o.lrd)/any_value(m.lrd) as f from near n join dense o on o.i = n.j join dense m on m.i = n.i group by n.i)"],
+    "select i as node_id, (f-min(f) over ())/(max(f) over ()-min(f) over ()+1e-8) as lof_score from factor"))
 R.add("o3_mahalanobis", on_scaled(anomaly.mahalanobis))
 Z = [f"{div(f'abs(f{i}-avg(f{i}) over ())', f'stddev_pop(f{i}) over ()')}" for i in range(10)]
 ZED = "zed as (select node_id, " + ", ".join(f"{z} as z{i}" for i, z in enumerate(Z)) + " from nodes)"

@@ -44,6 +44,26 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, op=lambda a, b: a + b, block: int = 128) -> Column:
+    """What ``op`` makes of all earlier elements (0 at first), for each element of a non-empty int array.
+
+    In two levels: an accumulator that grows with the whole array would cost its square.
+    """
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(op(last(acc), x))))
+
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+
+    def whole(parts: Column) -> Column:
+        heads = grown(F.transform(parts, lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: op(acc, x))))
+        inside = F.transform(parts, lambda xs: F.slice(grown(xs), F.lit(1), F.size(xs)))
+        joined = F.zip_with(inside, F.slice(heads, F.lit(1), F.size(parts)), lambda xs, head: F.transform(xs, lambda x: op(head, x)))
+        return F.flatten(joined)
+
+    return let(values, lambda xs: let(blocks(xs), whole))
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``docs`` is called so."""
     taken = {c.lower() for c in docs.columns}

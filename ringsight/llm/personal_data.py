@@ -3,21 +3,31 @@
 Base spans come from four regular expressions with their checks. They seed a bootstrap: every
 token with a digit or an @ is an instance (numbers with one space between them are one), the words around
 it are its lexical patterns. Pattern and
-instance scores are computed in turns on their graph: a pattern's confidence is the mean score
-of its distinct instances, an instance takes the best confidence of its accepted patterns, and
-seeds stay at 1. Instances that reach the threshold are identifiers the expressions don't know.
+instance scores are computed in turns on their graph. A pattern's precision is its seeds and found
+instances against these, its known negatives (plain numbers, dates, times) and a small part of
+its unknown instances, which are evidence for neither side; few seeds lower it. An instance is
+found by several patterns together: its score is 1 less the product of what each leaves open,
+and it rises as the patterns do. Instances that reach the threshold are identifiers the
+expressions don't know.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringsight.llm.common import free_name, stored
+from ringsight.llm.common import free_name, let, running, stored
 
 KINDS = ("email", "ip", "card", "phone", "learned")
 ROUNDS = 3
-CONFIDENCE = 0.9  # of an accepted pattern and of a learned instance
+CONFIDENCE = 0.9  # of an accepted pattern's precision and of a learned instance's score
 SUPPORT = 3  # distinct seed instances that a pattern must have met
+UNKNOWN = 0.1  # of an instance that is neither a seed nor a negative, as evidence against a pattern
+# Instances that are known to be none: short or grouped numbers, amounts, dates, times and ordinals.
+NEGATIVE = (
+    r"^(?:[0-9]{1,4}|[0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]{1,2})?%?|[0-9]+[.,][0-9]+%?|[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"
+    r"|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?|[0-9]+(?:st|nd|rd|th))$"
+)
+BLOCK = 4096  # characters of a text looked at together
 CONTEXT = 80  # characters looked at on either side
 PUNCTUATION = "\"'`.,;:!?()[]{}<>|*#$%&=~^/\\_-"
 
@@ -83,24 +93,22 @@ def _walk(text: Column, pattern: str) -> Column:
     )
 
 
+def _starts(walked: Column) -> Column:
+    """Where each element of ``_walk`` begins."""
+    return running(F.transform(walked, lambda x: x["a"] + F.coalesce(x["b"], F.lit(0))))
+
+
 def _spans(text: Column, kind: str, gate: str) -> Column:
     """Spans of the valid matches of one kind, in code points, end exclusive."""
     k = KINDS.index(kind)
     empty = F.array().cast(SPAN)
 
-    def step(acc, x):
-        start = acc["pos"] + x["a"]
-        end = start + x["b"]
-        one = F.array(F.struct(F.lit(k).alias("k"), start.alias("s"), end.alias("e")))
-        return F.struct(
-            F.coalesce(end, acc["pos"]).alias("pos"),
-            F.when(x["m"].isNotNull() & F.coalesce(_valid(kind, x["m"]), F.lit(False)), F.concat(acc["out"], one))
-            .otherwise(acc["out"]).alias("out"),
-        )
+    def spans(walked: Column) -> Column:
+        placed = F.zip_with(walked, _starts(walked), lambda x, at: F.struct((at + x["a"]).alias("s"), x["b"].alias("b"), x["m"].alias("m")))
+        good = F.filter(placed, lambda x: x["m"].isNotNull() & F.coalesce(_valid(kind, x["m"]), F.lit(False)))
+        return F.transform(good, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + x["b"]).alias("e"))).cast(SPAN)
 
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    found = F.aggregate(_walk(text, PATTERNS[kind]), start, step, lambda acc: acc["out"])
-    return F.when(F.expr(gate), found).otherwise(empty)
+    return F.when(F.expr(gate), let(_walk(text, PATTERNS[kind]), spans)).otherwise(empty)
 
 
 def base_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
@@ -118,27 +126,36 @@ def _context(piece: Column, last: bool) -> Column:
 def _tokens(text: str, base: str) -> Column:
     """Tokens with digits or @, and runs of numbers: trimmed span, token, the two words on either side, and whether it is (in) a base span."""
     kind = "array<struct<s:int,e:int,token:string,left:string,right:string,seed:boolean>>"
-    walked = _walk(F.col(text), TOKEN)
-    after = F.slice(F.split(F.col(text), TOKEN, -1), F.lit(2), F.lit(2147483647))
-    both = F.zip_with(walked, after, lambda x, q: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["m"].alias("m"), x["p"].alias("p"), q.alias("q")))
-
-    def step(acc, x):
-        start = acc["pos"] + x["a"]
-        bare = F.btrim(x["m"], F.lit(PUNCTUATION))
-        s = start + F.length(x["m"]) - F.length(F.ltrim(x["m"], F.lit(PUNCTUATION)))
-        e = s + F.length(bare)
-        seed = F.exists(F.col(base), lambda b: (b["s"] < e) & (s < b["e"]))
-        one = F.struct(
-            s.alias("s"), e.alias("e"), bare.alias("token"), _context(x["p"], True).alias("left"),
-            _context(x["q"], False).alias("right"), seed.alias("seed"),
-        )
-        return F.struct(
-            F.coalesce(start + x["b"], acc["pos"]).alias("pos"),
-            F.when(x["m"].isNotNull() & (bare != ""), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"),
-        )
+    base_of = F.col(base)
+    # The base spans that reach into each block of the text, so that a token meets only those near it.
+    blocks = F.transform(
+        F.sequence(F.lit(0), (F.length(text) / BLOCK).cast("int")),
+        lambda i: F.filter(base_of, lambda b: (b["s"] < (i + 1) * BLOCK) & (b["e"] > i * BLOCK)),
+    )
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
-    found = F.aggregate(both, start, step, lambda acc: acc["out"])
+    def tokens(walked: Column, after: Column, near: Column) -> Column:
+        placed = F.zip_with(walked, _starts(walked), lambda x, at: F.struct((at + x["a"]).alias("s"), x["p"].alias("p"), x["m"].alias("m")))
+        both = F.zip_with(placed, after, lambda x, q: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["m"].alias("m"), q.alias("q")))
+        bare = F.transform(F.filter(both, lambda x: x["m"].isNotNull()), lambda x: F.struct(
+            (x["s"] + F.length(x["m"]) - F.length(F.ltrim(x["m"], F.lit(PUNCTUATION)))).alias("s"),
+            F.btrim(x["m"], F.lit(PUNCTUATION)).alias("token"), x["p"].alias("p"), x["q"].alias("q"),
+        ))
+        ended = F.transform(F.filter(bare, lambda x: x["token"] != ""), lambda x: F.struct(
+            x["s"].alias("s"), (x["s"] + F.length(x["token"])).alias("e"), x["token"].alias("token"), x["p"].alias("p"), x["q"].alias("q"),
+        ))
+
+        def seed(x: Column) -> Column:
+            first = (x["s"] / BLOCK).cast("int")
+            reached = F.slice(near, first + 1, ((x["e"] - 1) / BLOCK).cast("int") - first + 1)
+            return F.exists(reached, lambda bs: F.exists(bs, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+
+        return F.transform(ended, lambda x: F.struct(
+            x["s"].alias("s"), x["e"].alias("e"), x["token"].alias("token"), _context(x["p"], True).alias("left"),
+            _context(x["q"], False).alias("right"), seed(x).alias("seed"),
+        )).cast(kind)
+
+    after = let(F.split(F.col(text), TOKEN, -1), lambda pieces: F.slice(pieces, F.lit(2), F.size(pieces)))
+    found = let(_walk(F.col(text), TOKEN), lambda w: let(after, lambda q: let(blocks, lambda near: tokens(w, q, near))))
     return F.when(F.col(text).rlike("[0-9@]"), found).otherwise(F.array().cast(kind))
 
 
@@ -163,18 +180,29 @@ def learned_instances(scanned: DataFrame) -> DataFrame:
         seen.select("instance", "seed", F.explode(F.array_compact(pattern)).alias("pattern"))
         .groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed"))
     )
-    fixed = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
-    score = fixed.select("instance", "seed", F.col("seed").cast("double").alias("score"))
+    fixed = edges.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn(
+        "negative", ((F.col("seed") == 0) & F.col("instance").rlike(NEGATIVE)).cast("int")
+    )
+    score = stored(fixed.select("instance", "seed", "negative", F.col("seed").cast("double").alias("score")))
     for _ in range(ROUNDS):
+        for_it, open_ = F.sum("score"), F.sum(F.when(F.col("negative") == 0, 1 - F.col("score")).otherwise(0.0))
         patterns = (
             edges.select("pattern", "instance").join(score, "instance").groupBy("pattern")
-            .agg(F.round(F.avg("score"), 9).alias("confidence"), F.sum("seed").alias("seeds"))
-            .where((F.col("confidence") >= CONFIDENCE) & (F.col("seeds") >= SUPPORT))
+            .agg(for_it.alias("found"), F.sum("seed").alias("seeds"), F.sum("negative").alias("negatives"), open_.alias("open"))
+            .where(F.col("seeds") >= SUPPORT)
+            .withColumn("precision", F.round(F.col("found") / (F.col("found") + F.col("negatives") + UNKNOWN * F.col("open")), 9))
+            .where(F.col("precision") >= CONFIDENCE)
+            .select("pattern", (F.col("precision") * F.col("seeds") / (F.col("seeds") + 1)).alias("confidence"))
+        )
+        # An instance has few patterns that are accepted: all but rare ones end in the aggregation before the shuffle.
+        left_open = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(
+            F.round(F.exp(F.sum(F.log1p(-F.col("confidence")))), 9).alias("left_open")
         )
-        told = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("told"))
         score = stored(
-            fixed.join(told, "instance", "left").select(
-                "instance", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("told", F.lit(0.0))).alias("score")
+            fixed.join(left_open, "instance", "left").select(
+                "instance", "seed", "negative",
+                F.when(F.col("seed") == 1, 1.0).when(F.col("negative") == 1, 0.0)
+                .otherwise(1 - F.coalesce("left_open", F.lit(1.0))).alias("score"),
             )
         )
     return score.where((F.col("seed") == 0) & (F.col("score") >= CONFIDENCE)).select("instance")
@@ -228,14 +256,21 @@ def redact(docs: DataFrame) -> DataFrame:
         F.transform(F.concat(F.col(base), F.coalesce(F.col(learned), F.array().cast(SPAN))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))
     )
     name = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
+    blocks = F.transform(F.sequence(F.lit(0), (F.length(text) / BLOCK).cast("int")), lambda i: F.substr(F.col(text), i * BLOCK + 1, F.lit(BLOCK)))
+
+    def marked_text(spans: Column, parts: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            first = (start / BLOCK).cast("int")
+            near = F.array_join(F.slice(parts, first + 1, (end / BLOCK).cast("int") - first + 1), "")
+            return F.substr(near, start - first * BLOCK + 1, end - start)
 
-    def step(acc, x):
-        new = x["s"] >= acc["pos"]
-        grown = F.concat(acc["out"], F.substr(F.col(text), acc["pos"] + 1, x["s"] - acc["pos"]), name(x["k"]))
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"), F.when(new, grown).otherwise(acc["out"]).alias("out"))
+        before = running(F.transform(spans, lambda x: x["e"]), F.greatest)
+        placed = F.zip_with(spans, before, lambda x, at: F.struct(at.alias("at"), x["s"].alias("s"), x["k"].alias("k")))
+        marked = F.transform(F.filter(placed, lambda x: x["s"] >= x["at"]), lambda x: F.concat(cut(x["at"], x["s"]), name(x["k"])))
+        end = F.array_max(F.transform(spans, lambda x: x["e"]))
+        return F.array_join(F.concat(marked, F.array(cut(end, F.length(text)))), "")
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["pos"] + 1)))
+    rebuilt = let(by_start, lambda spans: let(blocks, lambda parts: marked_text(spans, parts)))
     changed = joined.withColumn(fresh, F.when(F.col("text").isNull(), F.lit(None)).when((F.size(base) > 0) | F.col(learned).isNotNull(), rebuilt).otherwise(F.col(text)))
     out = []
     for field in docs.schema:

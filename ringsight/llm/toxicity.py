@@ -25,7 +25,8 @@ BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
 PASSAGE = 8  # words
 EPOCHS = (2, 3)  # with the document's label for all its passages, and with chosen ones
-BATCH, RATE = 4096, 0.25
+BATCH, LEAST_BATCH, RATE = 4096, 64, 0.25
+UPDATES = 600  # at least, over all epochs: small sets get small batches, and then more epochs
 FOLDS, HELD_FOLD = 4, 2
 CALIBRATION = 5  # every fifth training document only sets the probabilities
 THRESHOLD = 0.3
@@ -139,7 +140,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float) -> Model:
 
     def epoch(chosen: np.ndarray) -> None:
         nonlocal soft, bias
-        for batch in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
+        for batch in np.array_split(rng.permutation(chosen), max(1, len(chosen) // size)):
             n = (edges[batch + 1] - edges[batch]).astype(np.int64)
             flat = slots[np.repeat(edges[batch], n) + _ramp(n)]
             start = np.cumsum(n) - n
@@ -172,9 +173,11 @@ def train(texts: list[str], labels: np.ndarray, prior: float) -> Model:
         return out
 
     use = np.flatnonzero(fitted[doc])
-    for _ in range(EPOCHS[0]):
+    size = int(np.clip(sum(EPOCHS) * len(use) // UPDATES, LEAST_BATCH, BATCH))
+    more = -(-UPDATES // (sum(EPOCHS) * max(1, len(use) // size)))
+    for _ in range(EPOCHS[0] * more):
         epoch(use)
-    for _ in range(EPOCHS[1]):
+    for _ in range(EPOCHS[1] * more):
         # A toxic document's passage keeps the label if it stands out from those of clean ones, or from its own document.
         score = passage_scores()
         usual = np.quantile(score[use[labels[doc[use]] == 0]], 0.999)
@@ -221,11 +224,16 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     sized = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", F.octet_length("text").alias("size")).groupBy("doc_id", "toxic").agg(
         F.max("size").alias("size")
     ).orderBy(rank, "doc_id").collect()  # 2 * CLASS_DOCS rows at most
+    # In the order of the hash up to the budget, so that long texts are left out no more often than short
+    # ones; only a text longer than the whole budget is passed over.
     total, ids = 0, []
     for r in sized:
-        if total + r.size <= SAMPLE_BYTES:
-            total += r.size
-            ids.append((r.doc_id, r.toxic))
+        if r.size > SAMPLE_BYTES:
+            continue
+        total += r.size
+        if total > SAMPLE_BYTES:
+            break
+        ids.append((r.doc_id, r.toxic))
     if not ids:
         return [], np.empty(0, np.int64), prior
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id bigint, toxic int")
@@ -242,12 +250,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fold and not held out. Repeated rows give equal rows. Without labels of both classes every
     score is the share of toxic labels. Other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(*training_sample(docs, labels)))
+    fitted = train(*training_sample(docs, labels))
+    # Plain numbers: a class would have to be installed on the executors.
+    sent = docs.sparkSession.sparkContext.broadcast((fitted.weight, fitted.bias, fitted.slope, fitted.offset))
     given = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for part in slices(batches):
-            yield pa.record_batch([part.column("doc_id"), pa.array(model.value.scores(part.column("text")))], names=["doc_id", "score"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(model.scores(part.column("text")))], names=["doc_id", "score"])
 
     held = F.coalesce(fold_of(F.col("doc_id")) == HELD_FOLD, F.lit(False))
     return given.mapInArrow(each, "doc_id bigint, score double").select(

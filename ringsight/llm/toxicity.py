@@ -23,10 +23,10 @@ CLASS_DOCS = 4_000  # labelled rows of each class in the training sample, at mos
 SAMPLE_BYTES = 20 << 20  # of their texts together
 BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
-PASSAGE = 8  # words
+PASSAGE = 2  # words
 EPOCHS = (2, 3)  # with the document's label for all its passages, and with chosen ones
 BATCH, LEAST_BATCH, RATE = 4096, 64, 0.25
-UPDATES = 600  # at least, over all epochs: small sets get small batches, and then more epochs
+UPDATES = 1000  # at least, over all epochs: small sets get small batches, and then more epochs
 FOLDS, HELD_FOLD = 4, 2
 CALIBRATION = 5  # every fifth training document only sets the probabilities
 THRESHOLD = 0.3

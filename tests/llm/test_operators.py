@@ -133,6 +133,31 @@ def test_jaccard_large_groups(spark):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_hubs_in_turn(spark, monkeypatch):
+    """Groups of copies changed little and much, whose middle is not among them: several hubs merge them."""
+    from ringsight.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    monkeypatch.setattr(jaccard_join, "LARGE", 2)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1 / 40)
+    rng = random.Random(8)
+    out = []
+    for base in range(3):
+        for i in range(70):
+            words = prose(200 + base, 60).split()
+            for _ in range(rng.choice([1, 1, 2, 2, 3, 4])):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            out.append((base * 1000 + i, " ".join(words), "en", "s", 1))
+    got = jaccard_classes(spark.createDataFrame(out, SCHEMA))
+    assert pairs(got, "doc_id", "n_shingles", "component_id") == brute_classes(out)
+
+
+def test_one_per_class_tells_texts_under_one_id_apart(spark):
+    out = [(1, BASE, "a", "s", 1), (1, prose(77, 90), "b", "s", 1), (1, prose(77, 90), "b", "s", 1), (2, near(BASE, 60), "c", "s", 1), (1, "", "d", "s", 1), (1, None, "e", "s", 1)]
+    got = one_per_class(spark.createDataFrame(out, SCHEMA))
+    assert sorted(r.lang for r in got.collect()) == ["a", "b", "d", "e"]
+
+
 def test_one_per_class(docs, rows):
     stay = one_per_class(docs)
     assert stay.columns == docs.columns

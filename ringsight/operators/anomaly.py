@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ringsight.functions.linear import covariance, project
 from ringsight.functions.ordered import column_quantiles
 from ringsight.functions.sampling import first_k
-from ringsight.functions.scalars import SEED, finite, mean_of, one_row, pop_std_of, safe_div, seeded_hash, seeded_unit, total
+from ringsight.functions.scalars import SEED, finite, mean_of, one_row, safe_div, seeded_hash, seeded_unit, total
 from ringsight.graph import FraudGraph
 from ringsight.operators.columns import moments
 from ringsight.operators.nearest import nearest_rows, points_of
@@ -167,8 +167,8 @@ def stat_zscore(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def iqr_outlier(rows: DataFrame, columns: list[str], first: int = 5) -> DataFrame:
-    """Largest distance beyond the 1.5 IQR fences, in IQRs, over the first columns."""
+def iqr_outlier(rows: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
+    """Largest distance beyond the 1.5 IQR fences, in IQRs, over all columns (or the first)."""
     names = columns[:first]
     q = column_quantiles(rows, names, [0.25, 0.75])
     placed = rows.select("node_id", *names, q.alias("_q"))
@@ -180,12 +180,12 @@ def iqr_outlier(rows: DataFrame, columns: list[str], first: int = 5) -> DataFram
         over = F.when(x < low - 1.5 * iqr, low - 1.5 * iqr - x).when(x > high + 1.5 * iqr, x - high - 1.5 * iqr).otherwise(0.0)
         return F.when(iqr > 0, F.try_divide(over, iqr)).otherwise(0.0)
 
-    scores = [beyond(c) for c in names] + ([F.lit(0.0)] if len(columns) > first or len(names) == 1 else [])
+    scores = [beyond(c) for c in names] + [F.lit(0.0)]
     return placed.select("node_id", F.greatest(*scores).alias("stat_max_iqr_outlier"))
 
 
-def column_moments(rows: DataFrame, columns: list[str], first: int = 3) -> DataFrame:
-    """|skewness| and |excess kurtosis| of the first columns, as constants."""
+def column_moments(rows: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
+    """|skewness| and |excess kurtosis| of all columns (or the first), as constants."""
     names = columns[:first]
     m = one_row(rows.agg(
         *[F.skewness(c).alias(f"{c}_s") for c in names], *[F.kurtosis(c).alias(f"{c}_k") for c in names]
@@ -197,9 +197,9 @@ def column_moments(rows: DataFrame, columns: list[str], first: int = 3) -> DataF
     return rows.select("node_id", *out)
 
 
-def product_zscore(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """|z| of the products of the first columns."""
-    pairs = [(i, j) for i in range(min(2, len(columns))) for j in range(i + 1, min(3, len(columns)))]
+def product_zscore(rows: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
+    """|z| of the products of all pairs of columns (or of the first)."""
+    pairs = [(i, j) for i in range(len(columns[:first])) for j in range(i + 1, len(columns[:first]))]
     made = rows.select("node_id", *[(F.col(columns[i]) * F.col(columns[j])).alias(f"p_{i}_{j}") for i, j in pairs])
     m = moments(made, [f"p_{i}_{j}" for i, j in pairs])
     return made.select("node_id", *[
@@ -247,18 +247,27 @@ def bridging(graph: FraudGraph) -> DataFrame:
 MARKS = ("score", "distance", "zscore", "outlier")
 
 
-def combined_anomaly(scores: DataFrame, most: int = 10, threshold: float = 0.5) -> DataFrame:
-    """Mean, max, std, entropy and votes over the first ten score columns."""
+def combined_anomaly(scores: DataFrame, most: int | None = None, threshold: float = 0.5) -> DataFrame:
+    """Mean, max, std, entropy and votes over all score columns (or the first)."""
     names = [c for c in scores.columns if c != "node_id" and any(mark in c.lower() for mark in MARKS)][:most]
-    cells = [finite(F.col(c)) for c in names]
-    whole = total(cells) + 1e-8
-    # A share may be negative for scores below zero; such logs have no value and count 0.
-    logs = [F.when(c / whole + 1e-8 > 0, (c / whole) * F.log(c / whole + 1e-8)).otherwise(0.0) for c in cells]
-    votes = total([(c > threshold).cast("int") for c in cells])
-    return scores.select(
-        "node_id", mean_of(cells).alias("combined_mean_anomaly_score"), F.greatest(*cells).alias("combined_max_anomaly_score"),
-        pop_std_of(cells).alias("combined_anomaly_score_std"), (-total(logs)).alias("combined_anomaly_score_entropy"),
-        votes.alias("combined_anomaly_vote_count"), (votes / F.lit(float(len(cells)))).alias("combined_anomaly_vote_ratio"),
+    # One array and folds over it: written out, the shares of many columns grow with their square.
+    size, add = F.lit(float(len(names))), lambda acc, x: acc + x
+    cells = scores.select("node_id", F.array(*[finite(F.col(c)) for c in names]).alias("c"))
+    sums = cells.select("node_id", "c", F.aggregate("c", F.lit(0.0), add).alias("s"))
+    level = sums.select("node_id", "c", (F.col("s") / size).alias("mean"), (F.col("s") + 1e-8).alias("whole"))
+    spread = F.aggregate("c", F.lit(0.0), lambda acc, x: acc + (x - F.col("mean")) * (x - F.col("mean")))
+
+    def log_share(x: Column) -> Column:
+        share = x / F.col("whole")
+        # A share may be negative for scores below zero; such logs have no value and count 0.
+        return F.when(share + 1e-8 > 0, share * F.log(share + 1e-8)).otherwise(0.0)
+
+    votes = F.size(F.filter("c", lambda x: x > threshold))
+    return level.select(
+        "node_id", F.col("mean").alias("combined_mean_anomaly_score"), F.array_max("c").alias("combined_max_anomaly_score"),
+        F.sqrt(spread / size).alias("combined_anomaly_score_std"),
+        (-F.aggregate("c", F.lit(0.0), lambda acc, x: acc + log_share(x))).alias("combined_anomaly_score_entropy"),
+        votes.alias("combined_anomaly_vote_count"), (votes / size).alias("combined_anomaly_vote_ratio"),
     )
 
 

@@ -131,8 +131,8 @@ def inter_cluster(graph: FraudGraph, clusters: DataFrame) -> DataFrame:
 BAND_PERCENTILES = (0.25, 0.5, 0.75, 0.9)
 
 
-def degree_cluster(graph: FraudGraph, first: int = 3) -> DataFrame:
-    """K8: five degree bands and the distance of the first features to every band's mean."""
+def degree_cluster(graph: FraudGraph, first: int | None = None) -> DataFrame:
+    """K8: five degree bands and the distance of all features (or the first) to every band's mean."""
     d = graph.attach(undirected_degree(graph.neighbours(), "d").withColumnRenamed("node", "node_id")).fillna(0)
     rows = cut_lineage(d.join(graph.features(graph.feature_names[:first]), "node_id"))
     counted = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"))

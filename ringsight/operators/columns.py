@@ -89,8 +89,8 @@ def interactions(df: DataFrame, reach: int = 2) -> DataFrame:
     ])
 
 
-def poly2(df: DataFrame, first: int = 5) -> DataFrame:
-    """Squares of the first five columns."""
+def poly2(df: DataFrame, first: int | None = None) -> DataFrame:
+    """Squares of all columns (or the first)."""
     names = matrix_columns(df)[:first]
     return df.select("node_id", *[(F.col(c) * F.col(c)).alias(f"feature_{i}_poly2") for i, c in enumerate(names)])
 

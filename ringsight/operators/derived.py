@@ -40,8 +40,8 @@ def _row_shape(cells: list[Column]) -> tuple[Column, Column]:
     return F.try_divide(power(3), F.pow(power(2), F.lit(1.5))), F.try_divide(power(4), power(2) * power(2)) - 3
 
 
-def pair_derived(table: DataFrame, columns: list[str], first: int = 5) -> DataFrame:
-    """Every pair's product, ratio, difference; powers, deciles and z of the first; row statistics."""
+def pair_derived(table: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
+    """Every pair's product, ratio, difference; powers, deciles and z of all (or the first); row statistics."""
     names = [c for c in columns if c in table.columns]
     m = moments(table, names[:first])
     rows = table.withColumn("_q", column_quantiles(table, names[:first], [i / 10 for i in range(1, 10)]))
@@ -142,8 +142,8 @@ def embedding_model(table: DataFrame, columns: list[str], k: int = 5, seed: int
     })
 
 
-def stats_of_stats(table: DataFrame, columns: list[str], first: int = 3) -> DataFrame:
-    """Mean, std, CV and consistency over the columns, a scaled sum, and levels of the first ones."""
+def stats_of_stats(table: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
+    """Mean, std, CV and consistency over the columns, a scaled sum, and levels of all (or the first)."""
     lead = columns[:first]
     m = moments(table, columns)
     q = column_quantiles(table, lead, [i / 10 for i in range(1, 10)])
@@ -175,8 +175,8 @@ def stats_of_stats(table: DataFrame, columns: list[str], first: int = 3) -> Data
     return rows.select("node_id", *out)
 
 
-def interaction_derived(table: DataFrame, columns: list[str], first: int = 5) -> DataFrame:
-    """Triple products and harmonic means, row statistics, and level, log and root of the first ones."""
+def interaction_derived(table: DataFrame, columns: list[str], first: int | None = None) -> DataFrame:
+    """Triple products and harmonic means, row statistics, and level, log and root of all (or the first)."""
     lead = columns[:first]
     q = column_quantiles(table, lead, [0.25, 0.75])
     rows = table.select("node_id", *columns, q.alias("_q"))

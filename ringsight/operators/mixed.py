@@ -13,12 +13,12 @@ from ringsight.operators.cluster import kmeans_centres, nearest_centres
 from ringsight.session import cut_lineage
 
 
-def polynomial(rows: DataFrame, columns: list[str], over: int = 8, keep: int = 20) -> DataFrame:
-    """The first columns and their pairwise products, the first 20 of them; padded with 0."""
+def polynomial(rows: DataFrame, columns: list[str], over: int | None = None, keep: int | None = None) -> DataFrame:
+    """All columns (or the first ``over``) and their pairwise products; with ``keep`` so many terms, padded with 0."""
     names = columns[:over]
     terms = [F.col(c) for c in names]
     terms += [F.col(names[i]) * F.col(names[j]) for i in range(len(names)) for j in range(i + 1, len(names))]
-    terms += [F.lit(0.0)] * max(0, keep - len(terms))
+    terms += [F.lit(0.0)] * max(0, (keep or 0) - len(terms))
     return rows.select("node_id", *[t.alias(f"poly_feat_{i}") for i, t in enumerate(terms[:keep])])
 
 

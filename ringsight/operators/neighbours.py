@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ringsight.functions.ordered import exact_quantiles, melt
 from ringsight.functions.sampling import first_k, sample_k_per_key
-from ringsight.functions.scalars import mean_of, safe_div, seeded_hash, total
+from ringsight.functions.scalars import mean_of, one_row, safe_div, seeded_hash, total
 from ringsight.graph import FraudGraph
 from ringsight.operators.columns import kbins, matrix_columns, zscore
 from ringsight.operators.structure import undirected_degree
-from ringsight.operators.twohop import HUB_THRESHOLD, exclusive_sums, two_hop
+from ringsight.operators.twohop import HUB_THRESHOLD, exclusive_sums, two_hop, union_sums
 from ringsight.session import cut_lineage
 
 AGGS = (("mean", F.avg), ("max", F.max), ("min", F.min), ("std", F.stddev_pop), ("sum", F.sum))
@@ -72,25 +72,85 @@ def _beyond(near: DataFrame, pairs: DataFrame, k1: int, k2: int) -> DataFrame:
     return first_k(fresh, ["node"], ["h", "nbr"], k2).select("node", "nbr")
 
 
-def two_hop_features(graph: FraudGraph, k: int = 500, first: int = 5) -> DataFrame:
-    """A2: the A1 statistics over at most k nodes of the pattern of A squared."""
+def _two_hop_sums(graph: FraudGraph, first: int | None, exclusive: bool, threshold: int) -> tuple[DataFrame, int]:
+    """``(node, n, s0.., q0..)``: size of the exact second hop, and sums of centred features and their squares over it."""
+    names = graph.feature_names[:first]
+    # Centred on the mean of all nodes, so that a difference of squares keeps its digits.
+    centre = one_row(graph.nodes.agg(*[F.avg(c).alias(c) for c in names]))
+    values = graph.nodes.select(F.col("node_id").alias("w"), F.lit(1).cast("bigint").alias("n"), *[
+        (F.col(c) - centre[c]).alias(f"s{i}") for i, c in enumerate(names)
+    ])
+    values = values.select("*", *[(F.col(f"s{i}") * F.col(f"s{i}")).alias(f"q{i}") for i in range(len(names))])
     und = graph.neighbours()
-    sample = _first_by_node_hash(_hop(und, _first_by_node_hash(_hashed(und), k)), k)
-    rows = sample.join(_values(graph, first), "nbr")
-    aggs = [how(f"v{i}").alias(f"orig_n2_{s}_feat{i}") for i in range(first) for s, how in AGGS]
-    return _on_nodes(graph, rows.groupBy("node").agg(*aggs))
-
-
-def exclusive_two_hop_features(graph: FraudGraph, k1: int = 50, k2: int = 500, first: int = 5) -> DataFrame:
-    """A2, large-graph form: at most k1 neighbours, then k2 nodes beyond them; means only."""
+    hop = two_hop(und.toDF("u", "v"), und.toDF("v", "w"), threshold)
+    sums = ["n", *[f"s{i}" for i in range(len(names))], *([] if exclusive else [f"q{i}" for i in range(len(names))])]
+    if exclusive:
+        own = graph.nodes.select(F.col("node_id").alias("u"), F.col("node_id").alias("w"))
+        found = exclusive_sums(hop, und.toDF("u", "w").unionByName(own).distinct(), values, sums).where("n > 0")
+    else:
+        found = union_sums(hop, values, sums)
+    middle = F.struct(*[centre[c].alias(f"c{i}") for i, c in enumerate(names)])
+    return found.withColumnRenamed("u", "node").withColumn("_centre", middle), len(names)
+
+
+def two_hop_features(
+    graph: FraudGraph, k: int | None = None, first: int | None = None, threshold: int = HUB_THRESHOLD
+) -> DataFrame:
+    """A2: the A1 statistics over all nodes of the pattern of A squared (or k of them), of all features (or the first).
+
+    Without ``k`` the second hop is exact: sums over the distinct nodes (``two_hop``), and the extremes by two
+    steps over the edges, which need no distinct nodes.
+    """
     und = graph.neighbours()
-    near = sampled_neighbours(und, k1)
-    rows = _beyond(near, und, k1, k2).join(_values(graph, first), "nbr")
-    return _on_nodes(graph, rows.groupBy("node").agg(*[F.avg(f"v{i}").alias(f"orig_n2_mean_feat{i}") for i in range(first)]))
+    if k is not None:
+        sample = _first_by_node_hash(_hop(und, _first_by_node_hash(_hashed(und), k)), k)
+        rows = sample.join(_values(graph, first), "nbr")
+        n = len(graph.feature_names[:first])
+        return _on_nodes(graph, rows.groupBy("node").agg(*[
+            how(f"v{i}").alias(f"orig_n2_{s}_feat{i}") for i in range(n) for s, how in AGGS
+        ]))
+    sums, n = _two_hop_sums(graph, first, False, threshold)
+    ends = [how(f"v{i}").alias(f"{tag}{i}") for i in range(n) for tag, how in (("max", F.max), ("min", F.min))]
+    near = und.join(_values(graph, first), "nbr").groupBy(F.col("node").alias("nbr")).agg(*ends)
+    far = und.join(near, "nbr").groupBy("node").agg(*[
+        how(f"{tag}{i}").alias(f"{tag}{i}") for i in range(n) for tag, how in (("max", F.max), ("min", F.min))
+    ])
+    out, size = [], F.col("n").cast("double")
+    for i in range(n):
+        c, mean = F.col(f"_centre.c{i}"), F.col(f"s{i}") / size
+        # A column that is the same everywhere has no spread, whatever is left by rounding.
+        spread = F.sqrt(F.greatest(F.col(f"q{i}") / size - mean * mean, F.lit(0.0)))
+        out += [
+            (c + mean).alias(f"orig_n2_mean_feat{i}"), F.col(f"max{i}").alias(f"orig_n2_max_feat{i}"), F.col(f"min{i}").alias(f"orig_n2_min_feat{i}"),
+            F.when(F.col(f"max{i}") > F.col(f"min{i}"), spread).otherwise(0.0).alias(f"orig_n2_std_feat{i}"),
+            (c * size + F.col(f"s{i}")).alias(f"orig_n2_sum_feat{i}"),
+        ]
+    return _on_nodes(graph, sums.join(far, "node").select("node", *out))
 
 
-def degree_correlation(graph: FraudGraph, first: int = 3) -> DataFrame:
+def exclusive_two_hop_features(
+    graph: FraudGraph, k1: int | None = None, k2: int | None = None, first: int | None = None, threshold: int = HUB_THRESHOLD
+) -> DataFrame:
+    """A2, large-graph form: means over the nodes two hops away that are neither neighbours nor the node itself.
+
+    With ``k1`` and ``k2``: behind at most k1 neighbours, and at most k2 of these nodes.
+    """
+    if (k1 is None) != (k2 is None):
+        raise ValueError("give k1 and k2 together, or neither")
+    if k1 is not None:
+        und, n = graph.neighbours(), len(graph.feature_names[:first])
+        near = sampled_neighbours(und, k1)
+        rows = _beyond(near, und, k1, k2).join(_values(graph, first), "nbr")
+        return _on_nodes(graph, rows.groupBy("node").agg(*[F.avg(f"v{i}").alias(f"orig_n2_mean_feat{i}") for i in range(n)]))
+    sums, n = _two_hop_sums(graph, first, True, threshold)
+    return _on_nodes(graph, sums.select("node", *[
+        (F.col(f"_centre.c{i}") + F.col(f"s{i}") / F.col("n")).alias(f"orig_n2_mean_feat{i}") for i in range(n)
+    ]))
+
+
+def degree_correlation(graph: FraudGraph, first: int | None = None) -> DataFrame:
     """A3: neighbour mean times neighbour degree, and own value against neighbour degree."""
+    first = len(graph.feature_names[:first])
     und = graph.neighbours()
     degree = undirected_degree(und, "d")
     values = _values(graph, first).join(degree.withColumnRenamed("node", "nbr"), "nbr")
@@ -111,8 +171,9 @@ def degree_correlation(graph: FraudGraph, first: int = 3) -> DataFrame:
     return rows.select("node_id", *out)
 
 
-def neighbour_distribution(graph: FraudGraph, k: int | None = None, first: int = 3) -> DataFrame:
+def neighbour_distribution(graph: FraudGraph, k: int | None = None, first: int | None = None) -> DataFrame:
     """A4: skewness, excess kurtosis and IQR over all neighbours (or k of them); 0 below three."""
+    first = len(graph.feature_names[:first])
     rows = sampled_neighbours(graph.neighbours(), k).join(_values(graph, first), "nbr")
     values = [f"v{i}" for i in range(first)]
     # Ranks over range partitions: no task holds all values of a node.
@@ -134,8 +195,9 @@ def neighbour_distribution(graph: FraudGraph, k: int | None = None, first: int =
     return _on_nodes(graph, joined.select("node", *out))
 
 
-def in_out_difference(graph: FraudGraph, k: int | None = None, first: int = 3) -> DataFrame:
+def in_out_difference(graph: FraudGraph, k: int | None = None, first: int | None = None) -> DataFrame:
     """A5: mean over in-neighbours against mean over out-neighbours; own value where none."""
+    first = len(graph.feature_names[:first])
     pairs = graph.edges.select("src", "dst").distinct()
     values = _values(graph, first)
 
@@ -174,8 +236,9 @@ def bin_one_hop(graph: FraudGraph, bins: DataFrame | None = None, k: int | None
     return _on_nodes(graph, rows.groupBy("node").agg(*aggs))
 
 
-def bin_distribution(graph: FraudGraph, bins: DataFrame | None = None, n_bins: int = 5, first: int = 5) -> DataFrame:
+def bin_distribution(graph: FraudGraph, bins: DataFrame | None = None, n_bins: int = 5, first: int | None = None) -> DataFrame:
     """Share of each bin among the neighbours, most frequent bin, and entropy."""
+    first = len(graph.feature_names[:first])
     bins = bin_table(graph, n_bins) if bins is None else bins
     rows = graph.neighbours().join(bins.select("nbr", *[f"bin_{i}" for i in range(first)]), "nbr")
     counts = rows.groupBy("node").agg(

@@ -65,8 +65,8 @@ def _signals(graph: FraudGraph, first: int | None = None) -> tuple[DataFrame, li
 
 # --- L1, L2: smoothness ------------------------------------------------------------------------
 
-def laplacian_smoothness(graph: FraudGraph, filled: int = 5) -> DataFrame:
-    """L1: x * (L x); mean, max and std over all columns, of which the first five are filled."""
+def laplacian_smoothness(graph: FraudGraph, filled: int | None = None) -> DataFrame:
+    """L1: x * (L x); mean, max and std over all columns; those after the first ``filled`` count as 0."""
     rows, names = _signals(graph, filled)
     out = laplacian(symmetric_links(graph.neighbours()), rows, {f"l_{c}": c for c in names})
     scores = [F.col(c) * F.col(f"l_{c}") for c in names]
@@ -77,9 +77,9 @@ def laplacian_smoothness(graph: FraudGraph, filled: int = 5) -> DataFrame:
     )
 
 
-def neighbour_smoothness_diff(graph: FraudGraph) -> DataFrame:
+def neighbour_smoothness_diff(graph: FraudGraph, filled: int | None = None) -> DataFrame:
     """L2: mean absolute difference of the smoothness to the neighbours."""
-    s = cut_lineage(laplacian_smoothness(graph).select("node_id", F.col("smoothness_mean").alias("s")))
+    s = cut_lineage(laplacian_smoothness(graph, filled).select("node_id", F.col("smoothness_mean").alias("s")))
     pairs = graph.neighbours().join(s.toDF("node", "a"), "node").join(s.toDF("nbr", "b"), "nbr")
     diff = pairs.groupBy(F.col("node").alias("node_id")).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("neighbor_smoothness_diff"))
     return graph.attach(diff).fillna(0.0)
@@ -87,8 +87,8 @@ def neighbour_smoothness_diff(graph: FraudGraph) -> DataFrame:
 
 # --- L3: Chebyshev --------------------------------------------------------------------------------
 
-def chebyshev(graph: FraudGraph, order: int = 3, keep: int = 20) -> DataFrame:
-    """L3: T0..T3 of the random-walk Laplacian; the 20 columns of largest variance, ascending."""
+def chebyshev(graph: FraudGraph, order: int = 3, keep: int | None = None) -> DataFrame:
+    """L3: T0..T3 of the random-walk Laplacian; all columns, or the ``keep`` of largest variance, ascending."""
     rows, names = _signals(graph)
     links = cut_lineage(random_walk_links(graph.neighbours()))
     rows = rows.select("node_id", *[F.col(c).alias(f"t0_{i}") for i, c in enumerate(names)])
@@ -103,14 +103,14 @@ def chebyshev(graph: FraudGraph, order: int = 3, keep: int = 20) -> DataFrame:
     columns = [f"t{s}_{i}" for s in range(order + 1) for i in range(n)]
     # One number per column decides which columns stay.
     spread = rows.agg(*[F.var_pop(c).alias(c) for c in columns]).first().asDict()
-    chosen = sorted(columns, key=lambda c: spread[c] or 0.0)[-keep:]
+    chosen = sorted(columns, key=lambda c: spread[c] or 0.0)[-(keep or len(columns)):]
     return rows.select("node_id", *[F.col(c).alias(f"chebyshev_{j}") for j, c in enumerate(chosen)])
 
 
 # --- L4: low and high frequencies ---------------------------------------------------------------
 
-def spectral_response(graph: FraudGraph, first: int = 3) -> DataFrame:
-    """L4: three half steps (x + Lx)/2 against one L x, added up over three features."""
+def spectral_response(graph: FraudGraph, first: int | None = None) -> DataFrame:
+    """L4: three half steps (x + Lx)/2 against one L x, added up over all features (or the first)."""
     rows, names = _signals(graph, first)
     links = cut_lineage(symmetric_links(graph.neighbours()))
     rows = laplacian(links, rows, {f"h_{c}": c for c in names})
@@ -271,8 +271,8 @@ def scaled(graph: FraudGraph) -> FraudGraph:
     return FraudGraph(cut_lineage(graph.nodes.withColumns(z)), graph.edges, graph.label_splits)
 
 
-def graph_smoothness(graph: FraudGraph, first: int = 3) -> DataFrame:
-    """L1 on scaled features: sum of x * (L x) over the first three."""
+def graph_smoothness(graph: FraudGraph, first: int | None = None) -> DataFrame:
+    """L1 on scaled features: sum of x * (L x) over all of them (or the first)."""
     rows, names = _signals(graph, first)
     out = laplacian(symmetric_links(graph.neighbours(), 0.0), rows, {f"l_{c}": c for c in names})
     return out.select("node_id", total([F.col(c) * F.col(f"l_{c}") for c in names]).alias("graph_smoothness"))

@@ -8,7 +8,7 @@ from ringsight.functions.scalars import safe_div
 from ringsight.graph import FraudGraph
 
 WINDOWS = (7, 15, 30)
-EDGE_TYPES = tuple(range(11))
+EDGE_TYPES = tuple(range(11))  # always given a column; other types of the edges get theirs after them
 
 
 def endpoints(edges: DataFrame, *columns: str) -> DataFrame:
@@ -35,6 +35,12 @@ def per_node(graph: FraudGraph, stats: DataFrame) -> DataFrame:
     return graph.attach(stats.withColumnRenamed("node", "node_id")).fillna(0, names)
 
 
+def edge_types(graph: FraudGraph) -> list[int]:
+    """The published types and those of the edges; edge types are few, so their list reaches the driver."""
+    found = graph.edges.where("edge_type is not null").select("edge_type").distinct().collect()
+    return [*EDGE_TYPES, *sorted({r.edge_type for r in found} - set(EDGE_TYPES))]
+
+
 def time_window_counts(graph: FraudGraph, windows=WINDOWS) -> DataFrame:
     """Edges of the last w days, leaving and entering."""
     recent = endpoints(graph.edges, "ts").withColumn("age", last_day(graph.edges) - F.col("ts"))
@@ -44,8 +50,9 @@ def time_window_counts(graph: FraudGraph, windows=WINDOWS) -> DataFrame:
     return per_node(graph, recent.where(age < max(windows)).groupBy("node").agg(*aggs))
 
 
-def type_window_counts(graph: FraudGraph, windows=WINDOWS, types=EDGE_TYPES) -> DataFrame:
-    """Out-edges of each type in the last w days."""
+def type_window_counts(graph: FraudGraph, windows=WINDOWS, types: list[int] | None = None) -> DataFrame:
+    """Out-edges of each type in the last w days; ``types`` as of ``edge_types`` if not given."""
+    types = edge_types(graph) if types is None else types
     age = last_day(graph.edges) - F.col("ts")
     recent = graph.edges.select(F.col("src").alias("node"), "edge_type", age.alias("age"))
     aggs = [
@@ -90,8 +97,9 @@ def temporal_features(graph: FraudGraph) -> DataFrame:
     })
 
 
-def type_ratio_7d(graph: FraudGraph, types=EDGE_TYPES, days: int = 7) -> DataFrame:
-    """Share of each edge type among the last week's edges, per direction."""
+def type_ratio_7d(graph: FraudGraph, types: list[int] | None = None, days: int = 7) -> DataFrame:
+    """Share of each edge type among the last week's edges, per direction; ``types`` as of ``edge_types`` if not given."""
+    types = edge_types(graph) if types is None else types
     age = last_day(graph.edges) - F.col("ts")
     recent = endpoints(graph.edges, "edge_type", "ts").where(age < days)
     out = F.col("is_out")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ringsight.functions.ordered import blocks_with_halo, with_position
+from ringsight.functions.ordered import blocks_with_halo, running_sums, with_position
 from ringsight.functions.scalars import one_row
 from ringsight.functions.timeframes import block_size, in_blocks, lookback_sums, own_block, presence_changes
+from ringsight.session import cut_lineage
 
 # Look-back lengths, row spans, card spans (seconds), location bands.
 GLOBAL_LOOKBACKS = [2, 3, 5, 15, 20, 50, 100, 150, 200, 300, 864, 2590, 5100, 10000, 24000]
@@ -47,7 +48,7 @@ def rolling_amount(
     fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0).cast("decimal(19,0)")
     wide = "decimal(38,0)"
     amounts = transactions.groupBy(*keys, "Time").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(fixed).cast(wide).alias("s"), F.sum((fixed * fixed).cast(wide)).cast(wide).alias("ss")
+        F.count(F.lit(1)).alias("n"), F.sum(fixed.cast("bigint")).alias("s"), F.sum((fixed * fixed).cast(wide)).cast(wide).alias("ss")
     )
     seen = transactions.select(*keys, "Time", F.inline(F.array(*[
         F.struct(F.lit(d).alias("dim"), F.col(c).cast("string").alias("value")) for d, c in enumerate(DISTINCT)
@@ -98,40 +99,49 @@ def card_location_windows(cards: DataFrame, spans: list[int] = CARD_SPANS, digit
 
     One row per (row_id, county the card has ever used, span). A county the card never used has
     only zeros in every span, so the missing rows of the full grid are known without being stored.
+
+    The amounts up to a time are running sums over ranges of (card, county, time), and a span is the
+    difference of two of them: its two ends lie as rows without amounts among the others. So a span may be
+    of any length, and a card with a third of all rows is spread over a third of the ranges.
     """
     spans = sorted(spans)
-    reach, size = max(spans), block_size(spans, 1)
-    wide = "decimal(38,0)"
     at = F.unix_seconds("time_stamp")
     rows = cards.withColumn("_t", at)
     money = {"g": "amt_grant", "p": "amt_purch"}
-    exact = {k: F.round(F.col(c) * F.lit(10.0**digits), 0).cast("decimal(19,0)") for k, c in money.items()}
-    seen = rows.groupBy("card_id", "loc_cty", "_t").agg(
-        F.count(F.lit(1)).cast(wide).alias("n"), *[F.sum(v).cast(wide).alias(k) for k, v in exact.items()]
-    )
-    places = rows.select("card_id", "loc_cty").distinct()
-    asked = rows.select("card_id", "_t").distinct().join(places, "card_id").select(
-        "card_id", "loc_cty", "_t", *[F.lit(0).cast(wide).alias(c) for c in ("n", "g", "p")]
-    )
-    grid = seen.unionByName(asked).groupBy("card_id", "loc_cty", "_t").agg(
-        *[F.sum(c).cast(wide).alias(c) for c in ("n", "g", "p")]
+    exact = {k: F.round(F.col(c) * F.lit(10.0**digits), 0).cast("bigint") for k, c in money.items()}
+    seen = cut_lineage(rows.groupBy("card_id", "loc_cty", "_t").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in exact.items()]
+    ))
+    places = seen.select("card_id", "loc_cty").distinct()
+    asked = seen.select("card_id", "_t").distinct().join(places, "card_id")
+    # The sums up to now, and those before each span: its first second still counts.
+    ends = F.array(F.lit(0), *[F.lit(span) for span in spans])
+    points = asked.select("card_id", "loc_cty", "_t", F.explode(ends).alias("_span")).select(
+        "card_id", "loc_cty", (F.col("_t") - F.when(F.col("_span") > 0, F.col("_span") + 1).otherwise(0)).alias("_at"), F.lit(1).alias("_asks"),
+        "_t", "_span", *[F.lit(0).cast("bigint").alias(c) for c in ("n", "g", "p")],
     )
-    framed = lookback_sums(in_blocks(grid, "_t", size, reach), ["card_id", "loc_cty"], "_t", ["n", "g", "p"], spans)
+    stream = points.unionByName(seen.select(
+        "card_id", "loc_cty", F.col("_t").alias("_at"), F.lit(0).alias("_asks"), "_t", F.lit(0).alias("_span"), "n", "g", "p"
+    ))
+    upto = running_sums(
+        stream, ["card_id", "loc_cty"], ["_at", "_asks", "_t", "_span"], {f"{c}_upto": F.col(c) for c in ("n", "g", "p")}
+    ).where("_asks = 1")
+    framed = upto.groupBy("card_id", "loc_cty", "_t").agg(*[
+        F.max(F.when(F.col("_span") == span, F.col(f"{c}_upto"))).alias(f"{c}_{span}") for c in ("n", "g", "p") for span in (0, *spans)
+    ])
     scale = F.lit(10.0**digits)
 
     def one(span: int) -> Column:
-        n, g, p = (F.col(f"{c}_{span}").cast("double") for c in ("n", "g", "p"))
+        n, g, p = ((F.col(f"{c}_0") - F.col(f"{c}_{span}")).cast("double") for c in ("n", "g", "p"))
         return F.struct(
             F.lit(span).alias("span"), F.when(n > 0, g / n / scale).otherwise(0.0).alias("avg_grant"),
             (g / scale).alias("total_grant"), F.when(n > 0, p / n / scale).otherwise(0.0).alias("avg_purch"),
             (p / scale).alias("total_purch"), n.alias("num"),
         )
 
-    points = framed.where(own_block("_t", size)).select(
-        "card_id", F.col("loc_cty").alias("county"), "_t", F.inline(F.array(*[one(s) for s in spans]))
-    )
+    windows = framed.select("card_id", F.col("loc_cty").alias("county"), "_t", F.inline(F.array(*[one(s) for s in spans])))
     return rows.select("row_id", "card_id", "_t", "amt_grant", "amt_purch", "is_fraud").join(
-        points, ["card_id", "_t"]
+        windows, ["card_id", "_t"]
     ).drop("_t", "card_id")
 
 
@@ -175,13 +185,12 @@ def _span_sums(log: DataFrame, keys: list[str], sums: list[str], spans: list[int
 
 
 def _span_entropies(log: DataFrame, spans: list[int], digits: int, as_written: bool) -> DataFrame:
-    """Entropy before and with the current row, per (row, span).
+    """``(row_id, deltas)``: entropy before less entropy with the current row, one element per span.
 
-    The amounts of each type are summed over the span at every row of the Source, whatever the
-    type of that row; the set of types of a Source is small.
+    The amounts of each type are summed over the spans at every row of the Source, whatever the type of
+    that row; the set of types of a Source is small, so a row's sums meet in one array.
     """
-    wide, scale = "decimal(38,0)", F.lit(10.0**digits)
-    fixed = F.round(F.col("Amount") * scale, 0).cast(wide)
+    fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0).cast("bigint")
     point = log.select("row_id", "idx", "Source", "Type", fixed.alias("a"))
 
     def by_type(keys: list[str]) -> DataFrame:
@@ -191,56 +200,62 @@ def _span_entropies(log: DataFrame, spans: list[int], digits: int, as_written: b
         rows = rows.withColumn("Type", F.explode("kinds")).drop("kinds")
         mine = F.col("own") == F.col("Type")
         rows = rows.select(
-            "row_id", "idx", *keys, "Type", F.when(mine, F.col("a")).otherwise(0).cast(wide).alias("a"),
-            F.when(mine, 1).otherwise(0).cast(wide).alias("n"),
+            "row_id", "idx", *keys, "Type", F.when(mine, F.col("a")).otherwise(0).cast("bigint").alias("a"),
+            mine.cast("bigint").alias("n"),
         )
         return _span_sums(rows, [*keys, "Type"], ["a", "n"], spans)
 
-    def entropy(rows: DataFrame, now: bool, name: str) -> DataFrame:
-        def one(span: int) -> Column:
-            here = F.col("idx") >= span
-            amount = F.when(here, F.col(f"a_{span}")).otherwise(0) + (F.col("a") if now else F.lit(0))
-            count = F.when(here, F.col(f"n_{span}")).otherwise(0) + (F.col("n") if now else F.lit(0))
-            return F.struct(F.lit(span).alias("span"), amount.cast("double").alias("amount"), count.alias("count"))
-
-        long = rows.select("row_id", F.inline(F.array(*[one(s) for s in spans])))
-        present = long.where(F.col("count") > 0)
-        # sum p log(shift + p) over types with p = amount / total: two passes over few types.
-        w = Window.partitionBy("row_id", "span")
-        shares = present.withColumn("total", F.sum("amount").over(w))
-        return shares.groupBy("row_id", "span").agg(F.sum(_share_entropy(F.col("amount"), F.col("total"))).alias(name))
+    def cell(span: int, now: bool) -> Column:
+        here = F.col("idx") >= span
+        amount = F.when(here, F.col(f"a_{span}")).otherwise(0) + (F.col("a") if now else F.lit(0))
+        count = F.when(here, F.col(f"n_{span}")).otherwise(0) + (F.col("n") if now else F.lit(0))
+        # Without a row of the type there is nothing to add to the entropy.
+        return F.when(count > 0, amount.cast("double"))
+
+    def entropies(rows: DataFrame, kinds: dict[str, bool]) -> DataFrame:
+        """Per row and name an array over the spans; ``kinds`` says whether the current row counts."""
+        cells = F.array(*[cell(s, now) for now in kinds.values() for s in spans])
+        types = rows.groupBy("row_id").agg(F.collect_list(cells).alias("types"))  # one array per type of the Source
+
+        def entropy(i: int) -> Column:
+            amounts = F.filter(F.transform("types", lambda t: t[i]), lambda x: x.isNotNull())
+            total = F.aggregate(amounts, F.lit(0.0), lambda acc, x: acc + x)
+            summed = F.aggregate(amounts, F.lit(0.0), lambda acc, x: acc + _share_entropy(x, total))
+            return F.when(F.size(amounts) > 0, summed).otherwise(0.0)
+
+        return types.select("row_id", *[
+            F.array(*[entropy(k * len(spans) + i) for i in range(len(spans))]).alias(name) for k, name in enumerate(kinds)
+        ])
 
     same = by_type(["Source"])
-    old = entropy(same, False, "old")
-    new = entropy(by_type([]) if as_written else same, True, "new")
-    rows = new.join(old, ["row_id", "span"], "left")
-    if as_written:
-        # An empty history also empties the window that ends at the current row.
-        early = log.select("row_id", "idx")
-        rows = rows.join(early, "row_id").withColumn("new", F.when(F.col("idx") >= F.col("span"), F.col("new")).otherwise(0.0))
-    return rows.select("row_id", "span", (F.coalesce("old", F.lit(0.0)) - F.col("new")).alias("entropy_delta"))
+    if not as_written:
+        both = entropies(same, {"old": False, "new": True})
+        return both.select("row_id", F.zip_with("old", "new", lambda o, n: o - n).alias("deltas"))
+    # An empty history also empties the window that ends at the current row.
+    new = entropies(by_type([]), {"new": True}).join(log.select("row_id", "idx"), "row_id").select("row_id", F.array(*[
+        F.when(F.col("idx") >= s, F.col("new")[i]).otherwise(0.0) for i, s in enumerate(spans)
+    ]).alias("new"))
+    return entropies(same, {"old": False}).join(new, "row_id").select(
+        "row_id", F.zip_with("old", "new", lambda o, n: o - n).alias("deltas")
+    )
 
 
-def _span_rows(rows: DataFrame, spans: list[int], sums: list[tuple[str, str, Column | None]], digits: int, extra: str | None) -> DataFrame:
+def _span_rows(
+    rows: DataFrame, entropies: DataFrame, spans: list[int], sums: list[tuple[str, str, Column | None]], digits: int, extra: str | None
+) -> DataFrame:
+    """One row per row, span and radius. The entropies join row by row, before the spans are written out."""
     scale = F.lit(10.0**digits)
     cells = []
-    for span in spans:
+    for i, span in enumerate(spans):
         here = F.col("idx") >= span
         for s, n, tag in sums:
             total = F.when(here, F.col(f"{s}_{span}").cast("double") / scale).otherwise(0.0)
             fields = [F.lit(span).alias("span")] + ([tag.alias(extra)] if extra else [])
             cells.append(F.struct(
-                *fields, (total / span).alias("avg_amount"), total.alias("total_amount"),
-                F.when(here, F.col(f"{n}_{span}")).otherwise(0).cast("bigint").alias("number"),
+                *fields, (total / span).alias("avg_amount"), total.alias("total_amount"), (F.col("Amount") - total / span).alias("bias_amount"),
+                F.when(here, F.col(f"{n}_{span}")).otherwise(0).cast("bigint").alias("number"), F.col("deltas")[i].alias("entropy_delta"),
             ))
-    return rows.select("row_id", "Amount", F.inline(F.array(*cells)))
-
-
-def _with_bias_and_entropy(rows: DataFrame, entropies: DataFrame, per_row: list[str], first: Column) -> DataFrame:
-    joined = rows.join(entropies, ["row_id", "span"])
-    return joined.select(
-        *per_row, "avg_amount", "total_amount", first.alias("bias_amount"), "number", "entropy_delta"
-    )
+    return rows.join(entropies, "row_id").select("row_id", F.inline(F.array(*cells)))
 
 
 def span_2d(
@@ -249,16 +264,13 @@ def span_2d(
     """T4: the last w rows of the log that share the Source: mean over w, total, bias, count, entropy change.
 
     Before row w of the log the history is empty. ``as_written`` takes the entropy that includes
-    the current row over all sources.
+    the current row over all sources. Amounts are summed as integers of 10^-digits; a sum beyond a
+    long is an error.
     """
-    log = numbered_log(transactions)
-    fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0).cast("decimal(38,0)")
-    rows = _span_sums(
-        log.withColumns({"a": fixed, "n": F.lit(1).cast("decimal(38,0)")}), ["Source"], ["a", "n"], spans
-    )
-    cells = _span_rows(rows, spans, [("a", "n", None)], digits, None)
-    entropies = _span_entropies(log, spans, digits, as_written)
-    return _with_bias_and_entropy(cells, entropies, ["row_id", "span"], F.col("Amount") - F.col("avg_amount"))
+    log = cut_lineage(numbered_log(transactions))
+    fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0).cast("bigint")
+    rows = _span_sums(log.withColumns({"a": fixed, "n": F.lit(1).cast("bigint")}), ["Source"], ["a", "n"], spans)
+    return _span_rows(rows, _span_entropies(log, spans, digits, as_written), spans, [("a", "n", None)], digits, None)
 
 
 def span_3d(
@@ -270,23 +282,21 @@ def span_3d(
     A row is offered to each band it can be seen from, so the radius becomes an equality on the
     band and the same look-back sums apply.
     """
-    log = numbered_log(transactions).withColumn("band", location_band(location_number(F.col("Location"))))
-    fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0)
+    log = cut_lineage(numbered_log(transactions).withColumn("band", location_band(location_number(F.col("Location")))))
+    fixed = F.round(F.col("Amount") * F.lit(10.0**digits), 0).cast("bigint")
     far = max(radii) - 1
     spread = log.select(
         "row_id", "idx", "Source", "Amount", fixed.alias("a"), F.explode(F.sequence(F.lit(-far), F.lit(far))).alias("off"), "band"
     )
-    wide = "decimal(38,0)"
     sums = {}
     for r in radii:
         inside = F.abs("off") < r
-        sums[f"a{r}"] = F.when(inside, F.col("a")).otherwise(0).cast(wide)
-        sums[f"n{r}"] = inside.cast("int").cast(wide)
+        sums[f"a{r}"] = F.when(inside, F.col("a")).otherwise(0).cast("bigint")
+        sums[f"n{r}"] = inside.cast("bigint")
     offered = spread.withColumns({"band": F.col("band") + F.col("off"), **sums})
     rows = _span_sums(offered, ["Source", "band"], list(sums), spans).where(F.col("off") == 0)
-    cells = _span_rows(rows, spans, [(f"a{r}", f"n{r}", F.lit(r)) for r in radii], digits, "radius")
-    return _with_bias_and_entropy(
-        cells, _span_entropies(log, spans, digits, as_written), ["row_id", "span", "radius"], F.col("Amount") - F.col("avg_amount")
+    return _span_rows(
+        rows, _span_entropies(log, spans, digits, as_written), spans, [(f"a{r}", f"n{r}", F.lit(r)) for r in radii], digits, "radius"
     )
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ringsight.functions.scalars import finalize
 from ringsight.graph import FraudGraph
 from ringsight.operators import (
-    anomaly, business, cluster, columns, cross, embed, enhanced, hops, mixed, neighbours, nodetypes, nulls, spectral,
+    anomaly, business, cluster, columns, cross, derived, embed, enhanced, hops, mixed, neighbours, nodetypes, nulls, spectral,
     structure, temporal,
 )
 from ringsight.operators.splits import select_features
@@ -45,6 +46,15 @@ def _on_scaled(*ops: Callable[[DataFrame, list[str]], DataFrame]) -> Family:
     return run
 
 
+def _on_features(*ops: Callable[[DataFrame, list[str]], DataFrame]) -> Family:
+    """Operators on the node's own features; of columns that several give, the first copy stays."""
+    def run(graph: FraudGraph) -> DataFrame:
+        rows, names = graph.features(), graph.feature_names
+        return concat_features([graph.ids(), *[op(rows, names) for op in ops]], keep_first=True)
+
+    return run
+
+
 FAMILIES: dict[str, Family] = {
     "node": node_features,
     **{name: _hop(name) for name in hops.BUILDERS},
@@ -96,32 +106,81 @@ FAMILIES: dict[str, Family] = {
         mixed.polynomial, mixed.pca_components, mixed.ica_components, mixed.random_projection, mixed.selection_scores,
         mixed.bootstrap_stability, mixed.pseudo_importance, mixed.row_stats, mixed.complexity,
     ),
+    "moments": _on_features(anomaly.column_moments),
+    "combined": lambda graph: anomaly.combined_anomaly(anomaly.column_scores(graph)),
+    "diffusion": lambda graph: _side_by_side(spectral.diffusion, spectral.attention, spectral.graph_smoothness)(spectral.scaled(graph)),
+    "wavelets": _side_by_side(spectral.beta_wavelet),
+    "filters": _side_by_side(spectral.bernstein_basis),
+    "derived_pairs": _on_features(derived.pair_derived),
+    "derived_anomaly": _on_features(derived.anomaly_derived),
+    "derived_shape": _on_features(derived.embedding_shape, derived.embedding_model),
+    "derived_stats": _on_features(derived.stats_of_stats),
+    "derived_interactions": _on_features(derived.interaction_derived),
+    "derived_bins": _on_features(derived.binning_derived),
+    "derived_order": _on_features(derived.rolling, derived.lags, derived.local_trend),
+    "derived_importance": _on_features(derived.importance_derived),
 }
 
+MANIFEST = "name string, inputs string, columns string, rows bigint"
+
 
 def stored(graph: FraudGraph) -> FraudGraph:
     """The graph read back from the checkpoint folder, so that families do not redo its source query."""
     return FraudGraph(cut_lineage(graph.nodes), cut_lineage(graph.edges), graph.label_splits)
 
 
+def fingerprint(graph: FraudGraph) -> str:
+    """Names the rows of a graph whatever their order: counts and two sums of hashes per table."""
+    parts = [f"labels of {graph.label_splits}"]
+    for table in (graph.nodes, graph.edges):
+        names = sorted(table.columns)
+        each = F.xxhash64(*[F.col(c) for c in names]).cast("decimal(20,0)")
+        other = F.xxhash64(F.lit(1), *[F.col(c) for c in names]).cast("decimal(20,0)")
+        row = table.agg(F.count(F.lit(1)), F.sum(each), F.sum(other)).first()
+        parts.append(f"{','.join(names)} {row[0]} {row[1]} {row[2]}")
+    return "; ".join(parts)
+
+
+def _finished(spark: SparkSession, out: str, name: str, inputs: str) -> DataFrame | None:
+    """The family as an earlier run wrote it, if its manifest names the same inputs and the rows and columns are there."""
+    try:
+        entry = spark.read.schema(MANIFEST).json(f"{out}/manifest/{name}").first()
+        family = spark.read.parquet(f"{out}/{name}")
+    except AnalysisException:  # not written
+        return None
+    same = entry is not None and entry.inputs == inputs and entry.columns == family.schema.simpleString()
+    return family if same and entry.rows == family.count() else None
+
+
+def built_family(graph: FraudGraph, name: str, out: str, inputs: str) -> DataFrame:
+    """Read a finished family back, or build it, write it, and then its manifest: a run cut off before leaves none."""
+    spark = graph.nodes.sparkSession
+    found = _finished(spark, out, name, inputs)
+    if found is not None:
+        return found
+    write_features(finalize(FAMILIES[name](graph)), f"{out}/{name}")
+    family = spark.read.parquet(f"{out}/{name}")
+    entry = spark.createDataFrame([(name, inputs, family.schema.simpleString(), family.count())], MANIFEST)
+    entry.coalesce(1).write.mode("overwrite").json(f"{out}/manifest/{name}")
+    return family
+
+
 def build_features(
     graph: FraudGraph, families: Iterable[str], out: str | None = None, keep: list[str] | None = None,
     cross_family: str | None = None,
 ) -> DataFrame:
     """Build families, join them on the node id, add cross features and keep the listed columns.
 
-    With ``out`` every family is first written as its own Parquet folder, so a failed run can be
-    resumed family by family and the join reads only the kept columns.
+    With ``out`` every family is first written as its own Parquet folder with a manifest (inputs, columns,
+    rows), and the join reads only the kept columns. A later run over the same graph into the same
+    folder takes the families that are finished and builds the others; other rows are built anew.
     """
-    spark = graph.nodes.sparkSession
     graph = stored(graph)
-    parts = []
-    for name in families:
-        family = finalize(FAMILIES[name](graph))
-        if out:
-            write_features(family, f"{out}/{name}")
-            family = spark.read.parquet(f"{out}/{name}")
-        parts.append(family)
+    if out:
+        inputs = fingerprint(graph)
+        parts = [built_family(graph, name, out, inputs) for name in families]
+    else:
+        parts = [finalize(FAMILIES[name](graph)) for name in families]
     table = concat_features([graph.ids(), *parts], keep_first=True)
     if cross_family:
         table = cross.cross_features(table, cross_family)

@@ -37,7 +37,7 @@ R.add("c5_minmax", matrix(columns.minmax), settled([NODES], per_column(
     "({x} - min({x}) over ())/(case when max({x}) over () = min({x}) over () then 1 else max({x}) over () - min({x}) over () end)", "normalized")))
 R.add("c6_interactions", matrix(columns.interactions), settled([NODES], "select node_id, " + ", ".join(
     f"f{i}*f{j} as interaction_{i}_{j}" for i in F10 for j in (i + 1, i + 2) if j < 10) + " from nodes"))
-R.add("c7_poly2", matrix(columns.poly2), settled([NODES], per_column("{x}*{x}", "poly2", range(5))))
+R.add("c7_poly2", matrix(columns.poly2), settled([NODES], per_column("{x}*{x}", "poly2")))
 R.add("c8_rank_pct", matrix(columns.rank_pct), settled([NODES], per_column(
     "(rank() over (order by {x}) + (count(*) over (partition by {x}) - 1)/2.0)/(select count(*) from nodes)", "rank")))
 
@@ -102,36 +102,40 @@ R.add("a1_nbr_agg_1hop", graph_query(neighbours.one_hop), grouped(UNDS + [near("
 HOP2 = "hop2 as (select distinct a.node, b.nbr from und a join und b on a.nbr = b.node)"
 FIRST = "picked as (select node, nbr from (select *, row_number() over (partition by node order by {h}, nbr) as rk from {t}) where rk <= {k})"
 R.add("a2_nbr_agg_2hop", graph_query(neighbours.two_hop_features), grouped(
-    UNDS + [HOP2, FIRST.format(h=NBR_HASH, t="hop2", k=500)], ", ".join(
-        f"{h}(f{i}) as orig_n2_{s}_feat{i}" for i in range(5) for s, h in HOW), "picked"))
+    UNDS + [HOP2], ", ".join(f"{h}(f{i}) as orig_n2_{s}_feat{i}" for i in F10 for s, h in HOW), "hop2"))
 BEYOND = ("hop2 as (select distinct a.node, b.nbr from near a join {src} b on a.nbr = b.node where a.node <> b.nbr "
           "and not exists (select 1 from near c where c.node = a.node and c.nbr = b.nbr))")
 R.add("a2_nbr_agg_2hop_exclusive", graph_query(neighbours.exclusive_two_hop_features), grouped(
+    UNDS + [near("und"), BEYOND.format(src="und")], ", ".join(f"avg(f{i}) as orig_n2_mean_feat{i}" for i in F10), "hop2"))
+R.add("a2_nbr_agg_2hop_sampled", graph_query(lambda g: neighbours.two_hop_features(g, k=500, first=5)), grouped(
+    UNDS + [HOP2, FIRST.format(h=NBR_HASH, t="hop2", k=500)], ", ".join(
+        f"{h}(f{i}) as orig_n2_{s}_feat{i}" for i in range(5) for s, h in HOW), "picked"))
+R.add("a2_nbr_agg_2hop_exclusive_sampled", graph_query(lambda g: neighbours.exclusive_two_hop_features(g, 50, 500, 5)), grouped(
     UNDS + [near("und", 50), BEYOND.format(src="und"), FIRST.format(h=NBR_HASH, t="hop2", k=500)], ", ".join(
         f"avg(f{i}) as orig_n2_mean_feat{i}" for i in range(5)), "picked"))
 UDEG = "udeg as (select node, count(*) as d from und group by node)"
 R.add("a3_degree_correlation", graph_query(neighbours.degree_correlation), settled(UNDS + [UDEG], "select node_id, " + ", ".join(
     f"coalesce(m{i}, f{i})*coalesce(dm,0) as orig_feat{i}_degree_corr, f{i}-coalesce(dm,0) as orig_feat{i}_degree_diff, "
-    f"f{i}/(coalesce(dm,0)+1e-8) as orig_feat{i}_feat_degree_ratio" for i in range(3))
-    + " from nodes left join (select u.node, avg(d) as dm, " + ", ".join(f"avg(f{i}) as m{i}" for i in range(3))
+    f"f{i}/(coalesce(dm,0)+1e-8) as orig_feat{i}_feat_degree_ratio" for i in F10)
+    + " from nodes left join (select u.node, avg(d) as dm, " + ", ".join(f"avg(f{i}) as m{i}" for i in F10)
     + " from und u join udeg g on g.node = u.nbr join nodes v on v.node_id = u.nbr group by u.node) s on s.node = node_id"))
-MOM = ("near_means as (select p.node, count(*) as n, " + ", ".join(f"avg(f{i}) as m{i}" for i in range(3))
+MOM = ("near_means as (select p.node, count(*) as n, " + ", ".join(f"avg(f{i}) as m{i}" for i in F10)
        + " from near p join nodes v on v.node_id = p.nbr group by p.node)")
 R.add("a4_nbr_distribution", graph_query(neighbours.neighbour_distribution), settled(
     UNDS + [near("und"), MOM], "select k.node_id, s.* exclude (node) from nodes k left join (select p.node, " + ", ".join(
         f"case when max(n) >= 3 and max(f{i}) > min(f{i}) then avg((f{i}-m{i})**3)/(avg((f{i}-m{i})**2)**1.5) else 0 end as orig_feat{i}_neighbor_skew, "
         f"case when max(n) >= 3 and max(f{i}) > min(f{i}) then avg((f{i}-m{i})**4)/(avg((f{i}-m{i})**2)**2)-3 else 0 end as orig_feat{i}_neighbor_kurt, "
         f"case when max(n) >= 3 then quantile_cont(f{i},0.75)-quantile_cont(f{i},0.25) else 0 end as orig_feat{i}_neighbor_iqr"
-        for i in range(3)) + " from near p join near_means using (node) join nodes v on v.node_id = p.nbr group by p.node) s on s.node = k.node_id"))
+        for i in F10) + " from near p join near_means using (node) join nodes v on v.node_id = p.nbr group by p.node) s on s.node = k.node_id"))
 INS = "ins as (select distinct dst as node, src as nbr from edges)"
 OUTS = "outs as (select distinct src as node, dst as nbr from edges)"
 R.add("a5_in_out_difference", graph_query(neighbours.in_out_difference), settled(
     BASE + [INS, OUTS, near("ins", name="near_in"), near("outs", name="near_out")] + [
-        f"means_{d} as (select p.node, " + ", ".join(f"avg(f{i}) as {d}{i}" for i in range(3))
+        f"means_{d} as (select p.node, " + ", ".join(f"avg(f{i}) as {d}{i}" for i in F10)
         + f" from near_{d} p join nodes v on v.node_id = p.nbr group by p.node)" for d in ("in", "out")],
     "select node_id, " + ", ".join(
         f"coalesce(in{i},f{i})-coalesce(out{i},f{i}) as orig_feat{i}_in_out_diff, "
-        f"coalesce(in{i},f{i})/(coalesce(out{i},f{i})+1e-8) as orig_feat{i}_in_out_ratio" for i in range(3))
+        f"coalesce(in{i},f{i})/(coalesce(out{i},f{i})+1e-8) as orig_feat{i}_in_out_ratio" for i in F10)
     + " from nodes left join means_in a on a.node = node_id left join means_out b on b.node = node_id"))
 
 BINS = UNDS + BIN_CTES
@@ -147,7 +151,7 @@ MODE = "case " + " ".join(
 R.add("a7_bin_distribution", graph_query(neighbours.bin_distribution), grouped(BINS, ", ".join(
     ", ".join(CELL.format(i=i, b=b) + f" as bin_n1_box{b}_ratio_feat{i}" for b in range(5))
     + ", " + MODE.format(i=i) + f" as bin_n1_mode_feat{i}, " + ENT.format(i=i) + f" as bin_n1_entropy_feat{i}"
-    for i in range(5)), "und", "bins"))
+    for i in F10), "und", "bins"))
 MS = ",".join(f"bin_n1_mean_feat{i}" for i in F10)
 R.add("a8_bin_cross_feature", graph_query(neighbours.bin_cross_feature), settled(
     BINS + [near("und"), f"agg as (select p.node, {A6} from near p join bins v on v.node_id = p.nbr group by p.node)"], f"""

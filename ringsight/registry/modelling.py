@@ -38,7 +38,7 @@ parts = []
 for a, b in combinations(X10, 2):
     parts += [f"{a}*{b} as important_product_{a}_{b}", f"{a}/({b}+1e-8) as important_ratio_{a}_over_{b}",
               f"{a}-{b} as important_diff_{a}_minus_{b}", f"abs({a}-{b}) as important_abs_diff_{a}_{b}"]
-for c in X10[:5]:
+for c in X10:
     parts += [f"{c}*{c} as {c}_squared", f"{c}*{c}*{c} as {c}_cubed", f"exp({c}/(stddev_pop({c}) over ()+1e-8)) as {c}_exp",
               f"len(list_filter(q_{c}, lambda e: {c} >= e)) as {c}_decile", f"abs({c}-avg({c}) over ())/(stddev_pop({c}) over ()+1e-8) as {c}_zscore_abs"]
 parts += [f"{mean(X10)} as important_features_mean", f"{pstd(X10)} as important_features_std", f"greatest({','.join(X10)}) as important_features_max",
@@ -51,7 +51,7 @@ def quantiles(cols, probs):
     return "q as (select " + ", ".join(f"quantile_cont({c}, {probs}) as q_{c}" for c in cols) + " from nodes)"
 
 
-R.add("x10_pair_derived", table(derived.pair_derived, X10), settled([NODES, quantiles(X10[:5], DEC)], f"select node_id, {', '.join(parts)} from nodes, q"))
+R.add("x10_pair_derived", table(derived.pair_derived, X10), settled([NODES, quantiles(X10, DEC)], f"select node_id, {', '.join(parts)} from nodes, q"))
 
 X11 = ["f3", "f5", "f8", "f9"]
 S = "+".join(X11)
@@ -90,13 +90,13 @@ def scaled13(c):
 parts = [f"{mean(X13)} as stats_of_stats_mean", f"{pstd(X13)} as stats_of_stats_std", f"{pstd(X13)}/(abs({mean(X13)})+1e-8) as stats_of_stats_cv",
          f"case when {pstd(X13)} > 0 then 1/({pstd(X13)}/{mean([f'abs({c})' for c in X13])}+1e-8) else 0 end as stats_consistency",
          "+".join(scaled13(c) for c in X13) + " as stats_weighted_sum"]
-for c in X13[:3]:
+for c in X13:
     a, s = f"avg({c}) over ()", f"stddev_pop({c}) over ()"
     parts += [f"len(list_filter([q_{c}[2],q_{c}[4],q_{c}[6],q_{c}[8]], lambda e: {c} >= e)) as {c}_quintile", f"len(list_filter(q_{c}, lambda e: {c} >= e)) as {c}_decile",
               f"case when {c} < {a} - {s} then 0 when {c} <= {a} + {s} then 1 else 2 end as {c}_zscore_bin"]
 for a, b in near_pairs(X13):
     parts += [f"{a}*{b} as stats_product_{a}_{b}", f"{a}/({b}+1e-8) as stats_ratio_{a}_over_{b}"]
-R.add("x13_stats_of_stats", table(derived.stats_of_stats, X13), settled([NODES, quantiles(X13[:3], DEC)], f"select node_id, {', '.join(parts)} from nodes, q"))
+R.add("x13_stats_of_stats", table(derived.stats_of_stats, X13), settled([NODES, quantiles(X13, DEC)], f"select node_id, {', '.join(parts)} from nodes, q"))
 
 X14 = ["f0", "f3", "f5", "f8", "f9"]
 parts = []

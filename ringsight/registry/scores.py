@@ -93,7 +93,7 @@ R.add("k7_inter_cluster", graph_query(lambda g: cluster.inter_cluster(g, segment
    from ends2 join (select cluster, count(*) as size from cl group by cluster) z on z.cluster = own group by node) s on s.node = node_id"""))
 BANDED = ["cuts as (select quantile_cont(d, [0.25,0.5,0.75,0.9]) as q from deg)", "banded as (select n.*, (d > q[1])::int+(d > q[2])::int+(d > q[3])::int+(d > q[4])::int as band from nodes n join deg using (node_id), cuts)"]
 R.add("k8_degree_cluster", graph_query(cluster.degree_cluster), settled(BASE + [DEG] + BANDED, "select node_id, band as degree_cluster_degree_cluster, " + ", ".join(
-    f"abs(f{i} - (select avg(f{i}) from banded where band = {b})) as degree_cluster_degree_cluster_{b}_feat{i}_dist" for b in range(5) for i in range(3)) + " from banded"))
+    f"abs(f{i} - (select avg(f{i}) from banded where band = {b})) as degree_cluster_degree_cluster_{b}_feat{i}_dist" for b in range(5) for i in range(10)) + " from banded"))
 
 # --- anomaly --------------------------------------------------------------------------------------
 R.add("o1_isolation_forest", on_scaled(anomaly.isolation_forest))
@@ -109,14 +109,14 @@ ZED = "zed as (select node_id, " + ", ".join(f"{z} as z{i}" for i, z in enumerat
 ZS = [f"z{i}" for i in range(10)]
 STAT = f"greatest({','.join(ZS)}) as stat_max_zscore, {mean(ZS)} as stat_mean_zscore, {mean([f'({z} > 3)::int' for z in ZS])} as stat_zscore_gt3_ratio"
 R.add("o4_stat_zscore", raw(anomaly.stat_zscore), settled([NODES, ZED], f"select node_id, {STAT} from zed"))
-QS = "qs as (select " + ", ".join(f"quantile_cont(f{i}, [0.25,0.75]) as q{i}" for i in range(5)) + " from nodes)"
-OVER = ["case when q{i}[2] > q{i}[1] then greatest(q{i}[1]-1.5*(q{i}[2]-q{i}[1])-f{i}, f{i}-q{i}[2]-1.5*(q{i}[2]-q{i}[1]), 0)/(q{i}[2]-q{i}[1]) else 0 end".format(i=i) for i in range(5)]
+QS = "qs as (select " + ", ".join(f"quantile_cont(f{i}, [0.25,0.75]) as q{i}" for i in range(10)) + " from nodes)"
+OVER = ["case when q{i}[2] > q{i}[1] then greatest(q{i}[1]-1.5*(q{i}[2]-q{i}[1])-f{i}, f{i}-q{i}[2]-1.5*(q{i}[2]-q{i}[1]), 0)/(q{i}[2]-q{i}[1]) else 0 end".format(i=i) for i in range(10)]
 R.add("o5_iqr_outlier", raw(anomaly.iqr_outlier), settled([NODES, QS], f"select node_id, greatest({', '.join(OVER)}) as stat_max_iqr_outlier from nodes, qs"))
-MO = "mo as (select " + ", ".join(f"avg(f{i}) as m{i}, stddev_pop(f{i}) as s{i}" for i in range(3)) + " from nodes)"
+MO = "mo as (select " + ", ".join(f"avg(f{i}) as m{i}, stddev_pop(f{i}) as s{i}" for i in range(10)) + " from nodes)"
 R.add("o6_column_moments", raw(anomaly.column_moments), settled([NODES, MO, "mm as (select " + ", ".join(
-    f"abs(avg(((f{i}-m{i})/s{i})**3)) as k3_{i}, abs(avg(((f{i}-m{i})/s{i})**4)-3) as k4_{i}" for i in range(3)) + " from nodes, mo)"],
-    "select node_id, " + ", ".join(f"k3_{i} as stat_feat{i}_skewness_abs, k4_{i} as stat_feat{i}_kurtosis_abs" for i in range(3)) + " from nodes, mm"))
-PAIRS = [(0, 1), (0, 2), (1, 2)]
+    f"abs(avg(((f{i}-m{i})/s{i})**3)) as k3_{i}, abs(avg(((f{i}-m{i})/s{i})**4)-3) as k4_{i}" for i in range(10)) + " from nodes, mo)"],
+    "select node_id, " + ", ".join(f"k3_{i} as stat_feat{i}_skewness_abs, k4_{i} as stat_feat{i}_kurtosis_abs" for i in range(10)) + " from nodes, mm"))
+PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]
 R.add("o7_product_zscore", raw(anomaly.product_zscore), settled([NODES], "select node_id, " + ", ".join(
     f"abs(f{i}*f{j}-avg(f{i}*f{j}) over ())/(stddev_pop(f{i}*f{j}) over ()+1e-8) as stat_product_{i}_{j}_zscore" for i, j in PAIRS) + " from nodes"))
 DZ = f"{div('abs(d-avg(d) over ())', 'stddev_pop(d) over ()')} as graph_degree_zscore, {div('abs(ln(1+d)-avg(ln(1+d)) over ())', 'stddev_pop(ln(1+d)) over ()')} as graph_degree_log_zscore"
@@ -134,12 +134,12 @@ R.add("o11_combined", graph_query(lambda g: anomaly.combined_anomaly(anomaly.col
     + f", {DZ}, 1-d/max(d) over () as graph_bridging_score from nodes n join zed using (node_id) join deg using (node_id), qs)"], f"""
   select node_id, {mean(SC)} as combined_mean_anomaly_score, greatest({','.join(SC)}) as combined_max_anomaly_score, {pstd(SC)} as combined_anomaly_score_std,
    -({'+'.join(f'{c}/{SUM}*ln({c}/{SUM}+1e-8)' for c in SC)}) as combined_anomaly_score_entropy, {'+'.join(f'({c} > 0.5)::int' for c in SC)} as combined_anomaly_vote_count,
-   ({'+'.join(f'({c} > 0.5)::int' for c in SC)})/10.0 as combined_anomaly_vote_ratio from sc"""))
+   ({'+'.join(f'({c} > 0.5)::int' for c in SC)})/{len(SC)}.0 as combined_anomaly_vote_ratio from sc"""))
 
 # --- mixed ----------------------------------------------------------------------------------------
-TERMS = [f"f{i}" for i in range(8)] + [f"f{i}*f{j}" for i in range(8) for j in range(i + 1, 8)]
+TERMS = [f"f{i}" for i in range(10)] + [f"f{i}*f{j}" for i in range(10) for j in range(i + 1, 10)]
 R.add("x1_polynomial", on_scaled(mixed.polynomial), settled([NODES, SCALED], "select node_id, " + ", ".join(
-    f"{t} as poly_feat_{i}" for i, t in enumerate(TERMS[:20])) + " from scaled"))
+    f"{t} as poly_feat_{i}" for i, t in enumerate(TERMS)) + " from scaled"))
 R.add("x2_pca", on_scaled(mixed.pca_components))
 R.add("x3_ica", on_scaled(lambda rows, names: mixed.ica_components(rows, names, k=5, iterations=30)))
 G = gaussian(10, 10) / 10**0.5

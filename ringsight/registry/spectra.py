@@ -47,9 +47,8 @@ def pstd(cols):
     return "sqrt((" + "+".join(f"({c}-{m})**2" for c in cols) + f")/{float(len(cols))})"
 
 
-SMOOTH = [sym("1e-8"), step("lx", "nodes", FS[:5], form=LAP),
-          "sm as (select n.node_id, " + ", ".join(f"n.f{i}*l.f{i} as s{i}" for i in range(5)) + ", " + ", ".join(f"0.0 as s{i}" for i in range(5, 10))
-          + " from nodes n join lx l using (node_id))"]
+SMOOTH = [sym("1e-8"), step("lx", "nodes", FS, form=LAP),
+          "sm as (select n.node_id, " + ", ".join(f"n.f{i}*l.f{i} as s{i}" for i in range(10)) + " from nodes n join lx l using (node_id))"]
 SC = [f"s{i}" for i in range(10)]
 R.add("l1_laplacian_smoothness", graph_query(spectral.laplacian_smoothness), settled(BASE + SMOOTH, f"""
   select node_id, {mean(SC)} as smoothness_mean, greatest({','.join(SC)}) as smoothness_max, {pstd(SC)} as smoothness_std from sm"""))
@@ -67,13 +66,12 @@ LONG = "tall as (" + " union all ".join(
     f"select node_id, {k} as k, {i} as i, f{i} as v from {t}" for k, t in enumerate(("nodes", "t1", "t2", "t3")) for i in range(10)) + ")"
 RANKED = ("ranked as (select k, i, row_number() over (order by var_pop(v) desc, k desc, i desc) as r from tall group by k, i)")
 R.add("l3_chebyshev", graph_query(spectral.chebyshev), settled(BASE + [RW, T1, L1, T2, L2, T3, LONG, RANKED], "select node_id, " + ", ".join(
-    f"max(case when r = {20 - j} then v end) as chebyshev_{j}" for j in range(20)) + " from tall join ranked using (k, i) group by node_id"))
+    f"max(case when r = {40 - j} then v end) as chebyshev_{j}" for j in range(40)) + " from tall join ranked using (k, i) group by node_id"))
 
-F3 = FS[:3]
 HALF = "(x.{c} + x.{c} - coalesce(s.{c},0))/2"
 R.add("l4_spectral_response", graph_query(spectral.spectral_response), settled(BASE + [
-    sym("1e-8"), step("hi", "nodes", F3, form=LAP), step("w1", "nodes", F3, form=HALF), step("w2", "w1", F3, form=HALF), step("w3", "w2", F3, form=HALF),
-    "sums as (select a.node_id, " + "+".join(f"abs(a.{c})" for c in F3) + " as lo, " + "+".join(f"abs(b.{c})" for c in F3) + " as hi from w3 a join hi b using (node_id))",
+    sym("1e-8"), step("hi", "nodes", FS, form=LAP), step("w1", "nodes", FS, form=HALF), step("w2", "w1", FS, form=HALF), step("w3", "w2", FS, form=HALF),
+    "sums as (select a.node_id, " + "+".join(f"abs(a.{c})" for c in FS) + " as lo, " + "+".join(f"abs(b.{c})" for c in FS) + " as hi from w3 a join hi b using (node_id))",
     f"shares as (select node_id, {div('lo', 'max(lo) over ()')} as lo, {div('hi', 'max(hi) over ()')} as hi from sums)"],
     "select node_id, lo as low_freq_response, hi as high_freq_response, lo/(hi+1e-8) as spectral_ratio from shares"))
 DEG = "deg as (select node_id, coalesce(d,0) as d from nodes left join udeg on udeg.node = node_id)"
@@ -106,8 +104,8 @@ def scaled_query(op):
 
 
 R.add("l1_graph_smoothness", scaled_query(spectral.graph_smoothness), settled(
-    BASE + [SCALED, sym("0"), step("lx", "scaled", F3, form=LAP)],
-    "select node_id, " + "+".join(f"a.{c}*b.{c}" for c in F3) + " as graph_smoothness from scaled a join lx b using (node_id)"))
+    BASE + [SCALED, sym("0"), step("lx", "scaled", FS, form=LAP)],
+    "select node_id, " + "+".join(f"a.{c}*b.{c}" for c in FS) + " as graph_smoothness from scaled a join lx b using (node_id)"))
 R.add("l9_diffusion", scaled_query(spectral.diffusion), settled(
     BASE + [SCALED, RW, step("p1", "scaled", FS), step("p2", "p1", FS)],
     f"select x.node_id, sqrt({'+'.join(f'(a.{c}-x.{c})**2' for c in FS)}) as graph_diffusion_diffusion_change_norm, "

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringsight.llm.common import stored, table
+from ringsight.llm.common import remove_stored, stored, stored_so_far, table
 from ringsight.llm.decontaminate import decontaminated
 from ringsight.llm.jaccard_join import one_per_class
 from ringsight.llm.mixing import mix_sources
@@ -56,9 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What the stages before stored on their way is removed as soon as a stage's own result is written."""
+    docs, since = table(spark, sf_dir, "documents"), stored_so_far()
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
             docs = stored(docs)
+            remove_stored(spark, since)
     return docs

@@ -17,6 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []  # folders of stored tables of this process, in order
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
@@ -26,9 +29,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_so_far() -> int:
+    return len(_made)
+
+
+def remove_stored(spark: SparkSession, since: int) -> None:
+    """Delete the tables stored after ``stored_so_far()`` gave ``since``, but the last one.
+
+    For a caller that has stored its result and runs alone in this process: nothing reads the steps before it any more.
+    """
+    old, _made[since:] = _made[since:-1], _made[-1:] if len(_made) > since else []
+    for path in old:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, the empty one where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

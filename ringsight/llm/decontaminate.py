@@ -13,13 +13,15 @@ in all scripts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringsight.llm.common import columns_of, free_name
+from ringsight.llm.common import free_name
 from ringsight.llm.wordhash import ODD, SYMBOLS, Words, mix, slices
 
 K1, B = 1.2, 0.75
@@ -29,7 +31,8 @@ ALIGNED = 0.75  # or 1 - edits / words of the best aligned run; one changed word
 NGRAM = 3
 LEAST = 5  # words of a question or an answer
 BLOCK = 4  # items to a block of the index
-PART_ITEMS = 512  # items indexed and sent to the executors at once; block maxima are held per word of a slice
+PART_ITEMS = 512  # items to a part of the index; block maxima are held per word of a slice
+PASS_PARTS = 16  # parts sent to the executors at once and searched in one pass over the texts
 
 
 @dataclass
@@ -257,6 +260,12 @@ def _parts(benchmark: DataFrame):
         yield build([(r.item_id, r.text) for r in own], df, items, mean)
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """The parts of the index, PASS_PARTS at a time, as broadcasts of plain arrays: a class would have to be installed."""
+    for some in batched(_parts(benchmark), PASS_PARTS):
+        yield docs.sparkSession.sparkContext.broadcast([tuple(getattr(index, name) for name in Index.__match_args__) for index in some])
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, bm25_share, question_overlap, answer_overlap)`` for every copied item of every row.
 
@@ -264,22 +273,21 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of the best aligned run. An item of fewer than four words is found by whole n-grams only.
     Null or empty texts match nothing, on either side; an item without words is never found.
     Repeated rows of ``docs`` and repeated items give repeated pairs; null ids are carried as
-    they are. Other columns are ignored.
+    they are. Other columns are ignored. The texts are read once for every PASS_PARTS * PART_ITEMS items.
     """
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), _folded(docs["text"]).alias("text"))
     schema = "doc_id bigint, item_id bigint, bm25_share double, question_overlap double, answer_overlap double"
     out: DataFrame | None = None
-    for built in _parts(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(built)  # PART_ITEMS items at most
+    for held in _passes(docs, benchmark):
 
         def each(batches, held=held):
-            index = held.value
+            indexes = [Index(*parts) for parts in held.value]
             for part in slices(batches):
-                per = _matches(index, Words(part.column("text"), blank=SYMBOLS))
-                flat = [(r, hit) for r, hits in enumerate(per) for hit in hits]
-                cols = [part.column("doc_id").take(pa.array([r for r, _ in flat], pa.int64()))]
-                cols.append(pa.array([index.ids[hit[0]] for _, hit in flat], pa.int64()))
-                cols += [pa.array([hit[k] for _, hit in flat], pa.float64()) for k in (1, 2, 3)]
+                words = Words(part.column("text"), blank=SYMBOLS)
+                flat = [(r, index.ids[hit[0]], hit) for index in indexes for r, hits in enumerate(_matches(index, words)) for hit in hits]
+                cols = [part.column("doc_id").take(pa.array([r for r, _, _ in flat], pa.int64()))]
+                cols.append(pa.array([item for _, item, _ in flat], pa.int64()))
+                cols += [pa.array([hit[k] for _, _, hit in flat], pa.float64()) for k in (1, 2, 3)]
                 yield pa.record_batch(cols, names=["doc_id", "item_id", "bm25_share", "question_overlap", "answer_overlap"])
 
         found = docs.mapInArrow(each, schema)
@@ -290,15 +298,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no copied item, all columns kept."""
     out = docs
-    for built in _parts(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(built)
+    for held in _passes(docs, benchmark):
         text = free_name(docs, "_text")
 
         def each(batches, held=held, text=text):
+            indexes = [Index(*parts) for parts in held.value]
             for part in slices(batches, text):
-                per = _matches(held.value, Words(part.column(text), blank=SYMBOLS))
-                clean = pa.array([not hits for hits in per], pa.bool_())
-                yield part.filter(clean).remove_column(part.schema.get_field_index(text))
+                words, clean = Words(part.column(text), blank=SYMBOLS), np.ones(part.num_rows, bool)
+                for index in indexes:
+                    clean &= [not hits for hits in _matches(index, words)]
+                yield part.filter(pa.array(clean)).remove_column(part.schema.get_field_index(text))
 
         out = out.withColumn(text, _folded(F.col("text"))).mapInArrow(each, docs.schema)
     return out

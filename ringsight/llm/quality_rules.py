@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in SQL functions only.
 
 Every rule is an expression over the text that is true where the rule rejects. On a sample each
-rule is timed alone and its rejections are counted; the rules then stand in a CASE expression by
-rejections per cost, so most bad texts meet a cheap rule first and dear rules see only the rest.
-The verdict doesn't depend on the order.
+rule is timed alone and the rejections of all rules are counted together; the rules then stand in a
+CASE expression, each next one that which rejects most of what the earlier ones left per cost, so
+most bad texts meet a cheap rule first and dear rules see only the rest. The verdict doesn't depend
+on the order. ``keep`` filters so; ``judge``, which returns the measures of every text, computes each
+measure once and lets the cascade read them.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ringsight.llm.common import SPACES, WORD, let, stored, whole_text
+from ringsight.llm.common import SPACES, WORD, free_name, let, stored, whole_text
 
 SAMPLE_ROWS = 2_000
+RUNS, LEAST_SECONDS = (3, 8), 0.3  # timed runs of a rule, at least and at most, and how long they should take together
+LEAST_COST = 1e-3  # seconds; less can't be told from the noise of a job
 SEED = 31
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -102,23 +106,45 @@ def rules(text: Column) -> dict[str, Column]:
     }
 
 
+def rules_of_measures(words: Column, chars: Column, symbols: Column, upper: Column, lines: Column, dup: Column, repeat: Column) -> dict[str, Column]:
+    """The same rules where the measures are known."""
+    return {
+        "few_words": words < FEW_WORDS, "repeats": repeat * 100 > words * REPEATED, "symbols": symbols * 100 > SYMBOL_SHARE * words,
+        "duplicate_lines": dup * 100 > lines * DUP_LINES, "shouting": upper * 100 > SHOUTING * chars,
+        "word_length": ~chars.between(F.lit(WORD_LENGTH[0]) * words, F.lit(WORD_LENGTH[1]) * words),
+    }
+
+
+def ordered(cost: dict[str, float], met: list[tuple[frozenset[str], int]]) -> list[str]:
+    """Rules by rejections per cost among the rows that earlier rules left; ``met``: rejecting rules and number of rows."""
+    order: list[str] = []
+    while len(order) < len(cost):
+        left = [(names, n) for names, n in met if names.isdisjoint(order)]
+        gain = {k: sum(n for names, n in left if k in names) / cost[k] for k in cost if k not in order}
+        order.append(min(gain, key=lambda k: (-gain[k], cost[k], k)))
+    return order
+
+
 def rank(docs: DataFrame, reject: dict[str, Column], text: str) -> list[str]:
-    """Rule names by rejections per second on a sample of about SAMPLE_ROWS rows of ``docs``."""
+    """Rule names in the order of the cascade, from a sample of about SAMPLE_ROWS rows of ``docs``."""
     total = docs.count()
     part = min(1.0, SAMPLE_ROWS / max(total, 1))
     drawn = stored(docs.where(F.pmod(F.xxhash64(F.lit(SEED), text), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select(text))
 
-    def timed(c: Column) -> tuple[float, int]:
-        took = []
-        for _ in range(2):  # the first run also compiles
+    def seconds(c: Column) -> float:
+        """The least time of some runs; the first also compiles, and short ones are repeated more often."""
+        took: list[float] = []
+        while len(took) < RUNS[0] or (sum(took[1:]) < LEAST_SECONDS and len(took) < RUNS[1]):
             start = time.perf_counter()
-            hits = drawn.agg(F.coalesce(F.sum(c.cast("int")), F.lit(0))).first()[0]
+            drawn.agg(F.sum(c.cast("int"))).first()
             took.append(time.perf_counter() - start)
-        return min(took), hits
+        return min(took)
 
-    empty, _ = timed(F.length(text) < 0)
-    figures = {name: timed(c) for name, c in reject.items()}
-    return sorted(reject, key=lambda k: (-figures[k][1] / max(figures[k][0] - empty, 1e-3), k))
+    empty = seconds(F.length(text) < 0)
+    cost = {name: max(seconds(c) - empty, LEAST_COST) for name, c in reject.items()}
+    flags = drawn.select(*[F.coalesce(c, F.lit(False)).alias(name) for name, c in reject.items()])
+    met = flags.groupBy(*reject).agg(F.count(F.lit(1)).alias("_n")).collect()  # one row per set of rules
+    return ordered(cost, [(frozenset(k for k in reject if r[k]), r["_n"]) for r in met])
 
 
 def cascade(docs: DataFrame, reject: dict[str, Column], order: list[str], name: str) -> DataFrame:
@@ -130,6 +156,17 @@ def cascade(docs: DataFrame, reject: dict[str, Column], order: list[str], name:
     return docs.withColumn(name, F.lit(True) if chain is None else chain.otherwise(F.lit(True)))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, all columns kept. A rule is computed only where those before it passed.
+
+    Null and empty texts are rejected; repeated rows share their fate.
+    """
+    text, verdict = free_name(docs, "_text"), free_name(docs, "_kept")
+    given = docs.withColumn(text, whole_text())
+    reject = rules(F.col(text))
+    return cascade(given, reject, rank(given, reject, text), verdict).where(F.col(verdict)).select(*docs.columns)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: the measures, ``base_failed`` and ``kept``, the cascade's verdict.
 
@@ -138,18 +175,19 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     given = docs.select(docs["doc_id"].alias("doc_id"), whole_text().alias("text"))
     text = F.col("text")
-    reject = rules(text)
-    judged = cascade(given, reject, rank(given, reject, "text"), "kept")
-    parts = judged.withColumns({"_words": words_of(text), "_lines": lines_of(text)})
+    order = rank(given, rules(text), "text")
     big = lambda c: c.cast("bigint")
+    parts = given.withColumns({"_words": words_of(text), "_lines": lines_of(text)})
     measured = parts.select(
         "doc_id", big(F.size("_words")).alias("n_words"), big(word_chars(text)).alias("word_chars"), big(n_symbols(text)).alias("n_symbols"),
-        big(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        n_repeat_words(_windows(F.col("_words"))).alias("n_repeat_words"), "kept",
+        big(F.size("_lines")).alias("n_lines"), big(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
+        n_repeat_words(_windows(F.col("_words"))).alias("n_repeat_words"), big(n_upper(text)).alias("n_upper"),
     )
-    failed = (F.col("n_words") < FEW_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED)
-    return measured.select("*", failed.alias("base_failed")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    names = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
+    reject = rules_of_measures(*[F.col(c) for c in names])
+    failed = reject["few_words"] | reject["repeats"]
+    return cascade(measured, reject, order, "kept").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept"
     )
 
 

@@ -16,7 +16,7 @@ from ringsight.llm.licences import TEMPLATES, find_licences
 from ringsight.llm.mixing import mix_sources
 from ringsight.llm.personal_data import find_personal_data, redact
 from ringsight.llm.quality import resample
-from ringsight.llm.quality_rules import judge
+from ringsight.llm.quality_rules import judge, keep, ordered
 from ringsight.llm.secrets import find_secrets
 from ringsight.llm.token_counts import count_tokens
 from ringsight.llm.toxicity import score_toxicity
@@ -133,11 +133,10 @@ def test_jaccard_large_groups(spark):
     assert got == brute_classes(rows)
 
 
-def test_jaccard_hubs_in_turn(spark, monkeypatch):
-    """Groups of copies changed little and much, whose middle is not among them: several hubs merge them."""
+def test_jaccard_groups_without_a_middle(spark, monkeypatch):
+    """Groups of copies changed little and much, whose original is not among them."""
     from ringsight.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "CROWD", 3)
     monkeypatch.setattr(jaccard_join, "LARGE", 2)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 1 / 40)
     rng = random.Random(8)
@@ -378,6 +377,19 @@ def test_quality_rules(docs, rows, nothing):
     assert judge(nothing).count() == 0
 
 
+def test_quality_filter_keeps_what_the_judge_keeps(docs, nothing):
+    stays = {r.doc_id: r.kept for r in judge(docs).collect() if r.doc_id is not None}
+    got = keep(docs)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} - {None} == {i for i, k in stays.items() if k}
+    assert keep(nothing).isEmpty()
+
+
+def test_quality_rules_order_by_what_is_left():
+    """A cheap rule first; then a rule that rejects other rows before one whose rows are gone already."""
+    met = [(frozenset("ab"), 50), (frozenset("c"), 10), (frozenset(), 40)]
+    assert ordered({"a": 1.0, "b": 2.0, "c": 4.0}, met) == ["a", "c", "b"]
+
+
 def test_benchmark_pairs(docs, rows, items, nothing):
     got = pairs(contaminated_pairs(docs, items), "doc_id", "item_id")
     assert got == [(8, 1), (8, None)]
@@ -412,6 +424,20 @@ def test_benchmark_copies_with_one_word_changed(spark):
     assert all(i == d // 1000 for d, i in got if d < 14000)
 
 
+def test_benchmark_of_many_parts(spark, monkeypatch):
+    """More items than a part and more parts than a pass: the same pairs, and the same rows stay."""
+    from ringsight.llm import decontaminate
+
+    items = spark.createDataFrame([(i, prose(500 + i, 12 + i % 9)) for i in range(60)], "item_id long, text string")
+    held = {i: [7 * i % 60, (7 * i + 1) % 60] for i in range(0, 30, 2)}
+    texts = [(i, " ".join([prose(900 + i, 40), *[prose(500 + k, 12 + k % 9) + " " + prose(950 + i, 30) for k in held.get(i, [])]])) for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
+    monkeypatch.setattr(decontaminate, "PART_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "PASS_PARTS", 3)
+    assert pairs(contaminated_pairs(docs, items), "doc_id", "item_id") == sorted(((i, k) for i, ks in held.items() for k in ks), key=repr)
+    assert sorted(r.doc_id for r in decontaminated(docs, items).collect()) == [i for i in range(30) if i not in held]
+
+
 def test_fewest_edits():
     """Against the plain table of distances."""
     from ringsight.llm.decontaminate import fewest_edits

@@ -31,3 +31,16 @@ def test_pipeline_stages(spark):
             assert 0 < out.count() <= before, name
             before, docs = out.count(), out
     assert out.select("doc_id").join(docs, "doc_id", "left_anti").isEmpty() and not out.isEmpty()
+
+
+def test_pipeline_removes_its_steps(spark):
+    from pathlib import Path
+
+    from ringsight.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("llm-*")}
+    out = corpus_pipeline.run(spark, FOLDER)
+    left = {p.name for p in folder.glob("llm-*")} - before
+    # The documents before the last stage, and the last stage's own steps.
+    assert not out.isEmpty() and 1 <= len(left) <= 6

@@ -7,7 +7,7 @@ from importlib import import_module
 
 MODULES = [
     "tables", "features", "activity", "hopfeatures", "aggregation", "ledger", "spectra", "scores", "modelling",
-    "build",
+    "build", "invariants",
 ]
 
 

@@ -23,7 +23,7 @@ a4_nbr_distribution a7_bin_distribution a10_riskstat l1_laplacian_smoothness l11
 e3_degree_embedding e6_random_walk_stats k5_silhouette k7_inter_cluster o5_iqr_outlier o9_nbr_feature_diff x6_bootstrap_stability
 x8_row_stats x11_anomaly_derived x16_rolling x18_local_trend t1_rolling_amount_global t2_rolling_amount_by_source t3_card_location_windows
 t8_sequence_edges t9_label_encode f1_cross_dgraph f2_cross_amazon q2_roc_auc q5_threshold_report q7_fold_summary v3_class_weight
-x7_pseudo_importance k2_centre_distances
+x7_pseudo_importance k2_centre_distances e2e_resumed_build o2_lof a2_nbr_agg_2hop t4_span_2d t5_span_3d x2_pca_invariants k2_centre_invariants
 """.split()
 CHOSEN = set(QUERIES) if os.environ.get("RINGSIGHT_ALL") else set(SOME)
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from ringsight.operators import hops
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from ringsight.operators import blocks, hops, neighbours
+from ringsight.operators.twohop import two_hop
 
 
 def exchanges(df):
@@ -18,3 +24,46 @@ def test_paths_are_not_shuffled(random_graph):
         assert not wide, name
         stats = exchanges(hops.neighbour_stats(hops.cut_lineage(pairs), graph, name, [0, 1]))
         assert all("ENSURE_REQUIREMENTS" not in line for line in stats if "hashpartitioning(node#" in line), name
+
+
+def brute(first, second, without=()):
+    out = defaultdict(lambda: defaultdict(int))
+    for u, v in first:
+        for a, w in second:
+            if v is not None and v == a and ((u, w) not in without or None in (u, w)):
+                out[u][w] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts, chunk", [(1, 1 << 20), (3, 1 << 20), (3, 7)])
+def test_blocks_against_brute_force(spark, monkeypatch, parts, chunk):
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    rng = np.random.RandomState(3)
+    ids = [None, -5, 2**40, 2**62, *range(20)]
+    draw = lambda n: list({(ids[a], ids[b]) for a, b in rng.randint(0, len(ids), size=(n, 2))})
+    first, second, without = draw(120), draw(120), draw(60)
+    values = [(i, float(k) if k % 3 else None, k) for k, i in enumerate(ids[:-4])] + [(7, 2.5, 1)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    a, b, c = frame(first, "u long, v long"), frame(second, "v long, w long"), frame(without, "u long, w long")
+    want = brute(first, second, set(without))
+    got = blocks.block_pairs(a, b, c, "n", parts).collect()
+    assert {(r.u, r.w): r.n for r in got} == {(u, w): n for u, ws in want.items() for w, n in ws.items()}
+    assert len(got) == sum(map(len, want.values()))
+    counts = {r.u: r.n for r in blocks.block_sums(a, b, None, ["n"], c, parts).collect()}
+    assert counts == {u: len(ws) for u, ws in want.items()}
+    sums = {r.u: (r.x, r.k) for r in blocks.block_sums(a, b, frame(values, "w long, x double, k long"), ["x", "k"], c, parts).collect()}
+    for u, ws in want.items():
+        rows = [r for r in values for w in ws if w is not None and r[0] == w]
+        xs = [r[1] for r in rows if r[1] is not None]
+        assert (u in sums) == bool(rows)
+        if rows:
+            assert sums[u] == (sum(xs) if xs else None, sum(r[2] for r in rows))
+
+
+def test_pairs_over_two_steps_are_not_shuffled(random_graph):
+    graph = random_graph[0]
+    steps = graph.edges.select("src", "dst").distinct()
+    hop = two_hop(steps.toDF("u", "v"), steps.toDF("v", "w"))
+    assert not exchanges(hop.pairs()) or all("block" in line for line in exchanges(hop.pairs()))
+    last = neighbours.khop_exclusive(graph, 2)
+    assert not [line for line in exchanges(last) if "hashpartitioning(node" in line or "hashpartitioning(u" in line]

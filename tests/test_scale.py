@@ -67,3 +67,22 @@ def test_pairs_over_two_steps_are_not_shuffled(random_graph):
     assert not exchanges(hop.pairs()) or all("block" in line for line in exchanges(hop.pairs()))
     last = neighbours.khop_exclusive(graph, 2)
     assert not [line for line in exchanges(last) if "hashpartitioning(node" in line or "hashpartitioning(u" in line]
+
+
+def test_neighbour_distribution_of_hot_and_ordinary_nodes(random_graph):
+    graph, nodes, edges = random_graph
+    near = defaultdict(set)
+    for _, a, b, *_ in edges:
+        near[a].add(b)
+        near[b].add(a)
+    x = {n[0]: np.array(n[1:5]) for n in nodes}
+    for hot_node in (4, 10_000):
+        got = neighbours.neighbour_distribution(graph, hot_node=hot_node).collect()
+        assert len(got) == len(nodes)
+        for r in got:
+            rows = np.array([x[v] for v in near[r.node_id]]) if near[r.node_id] else np.zeros((1, 4))
+            for i in range(4):
+                lo, hi = np.quantile(rows[:, i], [0.25, 0.75])
+                assert r[f"orig_feat{i}_neighbor_iqr"] == pytest.approx(hi - lo if len(rows) >= 3 else 0.0, abs=1e-9)
+    plan = neighbours.neighbour_distribution(graph)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Expand" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ringsight.functions.scalars import safe_div
 from ringsight.graph import EDGE_COLUMNS, FraudGraph
+from ringsight.operators.structure import wide_stats
 from ringsight.operators.temporal import degree_counts, endpoints, per_node
 from ringsight.operators.twohop import HUB_THRESHOLD, two_hop, union_sums
 
@@ -112,7 +113,7 @@ def endpoint_feature_stats(graph: FraudGraph, mode: str = "neighbour") -> DataFr
         how(F.when(F.col("is_out") == F.lit(side == "out"), F.col(name))).alias(column(side, i, stat))
         for side in SIDES for i, name in enumerate(names) for stat, how in stats
     ]
-    return per_node(graph, near.groupBy("node").agg(*aggs))
+    return per_node(graph, wide_stats(graph, near, aggs))
 
 
 def time_cycles(graph: FraudGraph) -> DataFrame:

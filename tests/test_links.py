@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringsight.operators import blocks, links, neighbours, samples, spectral
+from ringsight.operators import blocks, links, neighbours, samples, spectral, structure
+from ringsight.operators.temporal import endpoints
 
 IDS = [None, -5, 2**40, 2**62, *range(20)]
 
@@ -133,3 +134,16 @@ def test_sampled_two_hops_write_no_paths(random_graph):
     for frame in (neighbours.two_hop_features(graph, k=5), neighbours.exclusive_two_hop_features(graph, 3, 5), neighbours.riskstat_sampled(graph, 3, 5)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(mid" not in plan and "dense_rank" not in plan
+
+
+def test_wide_statistics_of_hot_and_ordinary_nodes(spark, random_graph):
+    graph, nodes, edges = random_graph
+    rows = endpoints(graph.edges.unionByName(graph.edges.limit(3).withColumn("src", F.lit(None).cast("long"))))
+    aggs = [how("nbr").alias(name) for name, how in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp), ("h", F.max))]
+    want = {r[0]: r[1:] for r in rows.where("node is not null").groupBy("node").agg(*aggs).collect()}
+    for hot_node in (0, 12, 10_000):
+        got = [(r[0], *[None if v is None else pytest.approx(v) for v in r[1:]]) for r in structure.wide_stats(graph, rows, aggs, hot_node).collect()]
+        assert len(got) == len(want) and all(want[r[0]] == r[1:] for r in got)
+    # The rows are shuffled, not a partial aggregate per task and node.
+    plan = structure.wide_stats(graph, rows, aggs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Aggregate" not in plan[plan.index("Exchange"):]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ringsight.graph import FraudGraph
 from ringsight.operators import blocks, links, neighbours, samples, spectral, structure
 from ringsight.operators.temporal import endpoints
 
@@ -147,3 +148,30 @@ def test_wide_statistics_of_hot_and_ordinary_nodes(spark, random_graph):
     # The rows are shuffled, not a partial aggregate per task and node.
     plan = structure.wide_stats(graph, rows, aggs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and "Aggregate" not in plan[plan.index("Exchange"):]
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.05, 0.4, 1.0])
+@pytest.mark.parametrize("kind", ["spread", "ties", "nulls"])
+def test_pruning_orders_only_rows_around_the_cut(spark, random_graph, monkeypatch, ratio, kind):
+    graph, _, edges = random_graph
+    rng = np.random.RandomState(2)
+    value = {
+        "spread": lambda i: float(rng.normal()), "ties": lambda i: float(i % 2),
+        "nulls": lambda i: (None, float("nan"), 1.0, -1.0)[i % 4],
+    }[kind]
+    rows = [(*e, value(i)) for i, e in enumerate(edges)] * (20 if kind == "spread" else 1)
+    scored = spark.createDataFrame(rows, "edge_id long, src long, dst long, edge_type int, ts int, score double")
+    ordered, place = [], spectral.with_position
+
+    def seen(df, *rest):
+        ordered.append(df.count())
+        return place(df, *rest)
+
+    monkeypatch.setattr(spectral, "edge_scores", lambda *_: scored)
+    monkeypatch.setattr(spectral, "with_position", seen)
+    whole = FraudGraph(graph.nodes, scored.drop("score"))
+    got = [tuple(r) for r in spectral.heterophily_prune(whole, None, [], ratio).collect()]
+    rank = lambda r: (0 if r[5] is None else 2 if r[5] != r[5] else 1, r[5] if r[5] is not None and r[5] == r[5] else 0.0, *r[:5])
+    want = sorted(rows, key=rank)[int(np.floor(len(rows) * ratio)):]
+    assert sorted(map(rank, got)) == sorted(map(rank, want))
+    assert kind != "spread" or sum(ordered) < len(rows) / 20

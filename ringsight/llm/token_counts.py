@@ -15,14 +15,17 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ringsight.llm.common import stored
+from ringsight.llm.wordhash import slices
 
 HEAD, HEAD_CHARS = 131_072, 64  # pre-tokens sent to the executors: number and length at most
 FLUSH = 200_000  # distinct pre-tokens held by a task before it passes their counts on
+OUT = 20_000  # rows of a batch of these counts
 LIMIT = 1024
 
 # The pre-token expression of byte-level BPE with the letter, number and space
@@ -98,14 +101,19 @@ def pretoken_sizes(texts: DataFrame, path: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, seen = _CUTTERS.get(path), Counter()
-        out = lambda: pa.record_batch({"pretoken": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-        for batch in batches:
+
+        def out() -> Iterator[pa.RecordBatch]:
+            items = iter(seen.items())
+            while part := list(islice(items, OUT)):
+                yield pa.record_batch({"pretoken": pa.array([t for t, _ in part], pa.string()), "n": pa.array([n for _, n in part], pa.int64())})
+
+        for batch in slices(batches):
             for text in batch.column("text"):
-                seen.update(cutter.cut(text.as_py() or "")[0])
+                seen.update(cutter.cut(text.as_py())[0])
                 if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        yield out()
+                    yield from out()
+                    seen = Counter()
+        yield from out()
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _CUTTERS.get(path)
@@ -145,26 +153,29 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, known = _CUTTERS.get(path), shared.value
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py() or ""
+        for batch in slices(batches):
+            rows, rest, counts, edges = [], [], [], [0]
+            for text in batch.column("text"):
+                text = text.as_py()
                 pretokens, total = cutter.cut(text)
-                rest = []
                 for pretoken, n in Counter(pretokens).items():
                     pieces = known.get(pretoken)
                     if pieces is None:
-                        rest.append({"pretoken": pretoken, "n": n})
+                        rest.append(pretoken)
+                        counts.append(n)
                     else:
                         total += n * pieces
+                edges.append(len(rest))
                 # The row's own name: repeated ids stay apart.
-                rows.append((uuid.uuid4().bytes, doc, len(text.encode()), len(pretokens), total, rest))
-            cols = list(zip(*rows)) if rows else [()] * 6
+                rows.append((uuid.uuid4().bytes, len(text.encode()), len(pretokens), total))
+            row, n_bytes, n_pretokens, total = (pa.array(c, k) for c, k in zip(zip(*rows), kinds))
+            tail = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(counts, pa.int64())], ["pretoken", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), tail)
             yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "doc_id", "n_bytes", "n_pretokens", "known", "rest"]
+                [row, batch.column("doc_id"), n_bytes, n_pretokens, total, tail], names=["row", "doc_id", "n_bytes", "n_pretokens", "known", "rest"]
             )
 
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("pretoken", pa.string()), ("n", pa.int64())]))]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     counted = stored(given.mapInArrow(
         each, "row binary, doc_id bigint, n_bytes bigint, n_pretokens bigint, known bigint, rest array<struct<pretoken:string,n:bigint>>"
     ))

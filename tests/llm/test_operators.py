@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from ringsight.llm import token_counts
 from ringsight.llm.decontaminate import contaminated_pairs, decontaminated
 from ringsight.llm.jaccard_join import jaccard_classes, one_per_class
 from ringsight.llm.licences import TEMPLATES, find_licences
@@ -563,3 +564,18 @@ def test_mixing_meets_the_entropy(spark):
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), entropy=0.9)
     weight = [r.weight for r in got.select("source", "weight").distinct().collect()]
     assert -sum(w * log(w) for w in weight) == pytest.approx(0.9 * log(2), abs=1e-6)
+
+
+def test_token_counts_pass_small_batches_on(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "OUT", 3)
+    monkeypatch.setattr(token_counts, "FLUSH", 5)
+    texts = ["one two three four five six", None, "", "one two <|endoftext|> zwölf", "six six six 你好"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(docs, BPE).collect()}
+    library = Tokenizer.from_file(BPE)
+    want = {i: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+    assert got == want
+    found = token_counts.pretoken_sizes(docs.select("text"), BPE).collect()
+    assert {r.pretoken: r.n for r in found}[" six"] == 4 + 8 and len({r.pretoken for r in found}) == len(found)

@@ -67,3 +67,24 @@ def test_seed_does_not_change_the_factor(spark, monkeypatch):
     rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.normal(size=(200, 3)))], "node_id long, a double, b double, c double")
     one, two = (anomaly.local_outlier_factor(rows, ["a", "b", "c"], seed=s).withColumnRenamed("lof_score", f"s{s}") for s in (1, 2))
     assert one.join(two, "node_id").agg(F.max(F.abs(F.col("s1") - F.col("s2")))).first()[0] < 1e-12
+
+
+def test_points_without_clusters_reach_few_cells():
+    x = np.random.RandomState(3).normal(size=(4000, 6))
+    steps, many = nearest._limits(x[:1000], 64)
+    cell = nearest._cells(x, steps)
+    assert many == 64 and np.bincount(cell, minlength=64).max() < 200
+    low = np.array([x[cell == c].min(axis=0) for c in range(64)])
+    high = np.array([x[cell == c].max(axis=0) for c in range(64)])
+    step_low, step_high = np.empty((len(steps), 6)), np.empty((len(steps), 6))
+    for at in reversed(range(len(steps))):
+        column, _, below, other = steps[at]
+        step_low[at] = low[below] if column < 0 else np.minimum(step_low[below], step_low[other])
+        step_high[at] = high[below] if column < 0 else np.maximum(step_high[below], step_high[other])
+    bound = np.array([np.sort(nearest._distances(x[i : i + 1], x)[0])[10] for i in range(300)])
+    row, to = nearest._reached(x[:300], bound, steps, step_low, step_high)
+    got = set(zip(row.tolist(), to.tolist()))
+    for i in range(300):
+        assert {int(c) for c in cell[nearest._distances(x[i : i + 1], x)[0] <= bound[i]]} <= {c for r, c in got if r == i}
+    assert len(got) < 300 * 32  # half of the cells
+    assert not len(nearest._reached(x[:0], bound[:0], steps, step_low, step_high)[0])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ringsight.functions.ordered import average_ranks, exact_quantiles, running_sums, with_position
 from ringsight.functions.sampling import sample_k_per_key
-from ringsight.operators import neighbours, structure, transactions
+from ringsight.operators import blocks, neighbours, structure, transactions
 from ringsight.operators.enhanced import hops, second_hop_count
 from ringsight.operators.twohop import exclusive_sums, two_hop, union_sums
 
@@ -130,6 +130,25 @@ def test_triangles_against_brute_force(random_graph):
     assert got == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_triangles_are_found_in_blocks_without_a_row_per_path(spark, monkeypatch, parts):
+    monkeypatch.setattr(blocks, "CHUNK", 50)
+    rng = np.random.RandomState(4)
+    pairs = {tuple(sorted(map(int, p))) for p in rng.randint(0, 40, size=(300, 2)) if p[0] != p[1]}
+    number = {p: 1 + sum(p) % 3 for p in pairs}
+    steps = spark.createDataFrame([(a, b, x) for (a, b), x in number.items()], "u long, v long, x int")
+    found = blocks.block_triangles(steps, parts)
+    want = {
+        (a, b, c, number[a, b], number[b, c], number[a, c])
+        for a, b in pairs for c in range(40) if (b, c) in pairs and (a, c) in pairs
+    }
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    texts = blocks.block_triangles(steps.select(*[F.format_string("%02d", c).alias(c) for c in "uv"], "x"))
+    assert {(int(a), int(b), int(c), *x) for a, b, c, *x in texts.collect()} == want
+    plan = structure.triangles(steps.select(F.col("u").alias("src"), F.col("v").alias("dst")))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_adjacency_is_split_and_comes_back(random_graph):
     graph, nodes, edges = random_graph
     parts = neighbours.adjacency_list(graph, chunk=4)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ringsight.functions.ordered import average_ranks, exact_quantiles, running_sums, with_position
 from ringsight.functions.sampling import sample_k_per_key
-from ringsight.operators import blocks, neighbours, structure, transactions
+from ringsight.operators import blocks, embed, neighbours, structure, transactions
 from ringsight.operators.enhanced import hops, second_hop_count
 from ringsight.operators.twohop import exclusive_sums, two_hop, union_sums
 
@@ -149,6 +149,24 @@ def test_triangles_are_found_in_blocks_without_a_row_per_path(spark, monkeypatch
     assert "Join" not in plan
 
 
+def test_walks_take_their_steps_from_pieces_of_neighbours(random_graph, monkeypatch):
+    graph, _, _ = random_graph
+    written, cut = [], embed.cut_lineage
+
+    def kept(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(embed, "cut_lineage", kept)
+    ways = []
+    for size in (1, 4, 256):
+        monkeypatch.setattr(embed, "PIECE", size)
+        ways.append(sorted(map(tuple, embed.random_walk_stats(graph, walks=3, length=4).collect())))
+    assert ways[0] == ways[1] == ways[2]
+    sizes = [r.n for df in written if "next" in df.columns for r in df.select(F.size("next").alias("n")).collect()]
+    assert max(sizes) > 4 and min(df.count() for df in written if "next" in df.columns) <= 40
+
+
 def test_adjacency_is_split_and_comes_back(random_graph):
     graph, nodes, edges = random_graph
     parts = neighbours.adjacency_list(graph, chunk=4)

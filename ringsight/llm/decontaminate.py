@@ -195,6 +195,22 @@ def search(index: Index, terms: list[int]) -> list[tuple[int, float]]:
                     advance(k, item)
 
 
+def _reach(index: Index, at: np.ndarray, begin: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+    """Per passage, two halves long, a bound of the impact sum in each block; ``at`` are the words' places in the index."""
+    # Each word of the index once per half: other words add nothing, and repeats would only loosen the bound.
+    known = np.flatnonzero(at < len(index.terms))
+    inside = np.searchsorted(begin, known, "right") - 1
+    inside, term = np.divmod(np.unique(inside * len(index.terms) + at[known]), len(index.terms))
+    half = np.zeros((len(begin), index.block_most.shape[1]), np.float32)
+    if len(inside):
+        edge = np.flatnonzero(np.diff(inside, prepend=-1))
+        half[inside[edge]] = np.add.reduceat(index.block_most[term], edge, axis=0)
+    reach = half.copy()
+    together = np.flatnonzero(row_of[1:] == row_of[:-1])
+    reach[together] += half[together + 1]
+    return reach
+
+
 def _matches(index: Index, words: Words) -> list[list[tuple[int, float, float, float]]]:
     """Per row: item, score as a share of the item's own, question and answer overlap; best passage each."""
     out: list[list] = [[] for _ in range(len(words.rows) - 1)]
@@ -209,10 +225,7 @@ def _matches(index: Index, words: Words) -> list[list[tuple[int, float, float, f
     row_of = np.repeat(np.arange(len(counts)), halves)
     first = np.concatenate([[0], np.cumsum(halves)])
     begin = words.rows[row_of] + (np.arange(len(row_of)) - first[row_of]) * index.window
-    half = np.add.reduceat(index.block_most[at], begin, axis=0)
-    reach = half.copy()
-    together = np.flatnonzero(row_of[1:] == row_of[:-1])
-    reach[together] += half[together + 1]
+    reach = _reach(index, at, begin, row_of)
     for p in np.flatnonzero(reach.max(axis=1) >= 1):
         row = row_of[p]
         lo, hi = begin[p], min(begin[p] + 2 * index.window, words.rows[row + 1])

@@ -6,11 +6,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ringsight.llm import token_counts
+from ringsight.llm import decontaminate, token_counts
 from ringsight.llm.decontaminate import contaminated_pairs, decontaminated
 from ringsight.llm.jaccard_join import jaccard_classes, one_per_class
 from ringsight.llm.licences import TEMPLATES, find_licences
@@ -579,3 +581,16 @@ def test_token_counts_pass_small_batches_on(spark, monkeypatch):
     assert got == want
     found = token_counts.pretoken_sizes(docs.select("text"), BPE).collect()
     assert {r.pretoken: r.n for r in found}[" six"] == 4 + 8 and len({r.pretoken for r in found}) == len(found)
+
+
+def test_a_repeated_word_reaches_no_item():
+    item = "which river crosses the old harbour town before the sea and ends there"
+    words = decontaminate.Words(pa.array([item], pa.large_string()), blank=decontaminate.SYMBOLS)
+    index = decontaminate.build([(1, item)], {int(h): 1 for h in words.hashes}, 2, 13.0)
+    place = int(np.searchsorted(index.terms, words.hashes[1]))
+    missing = len(index.terms)
+    at = np.array([place] * 13 + [missing] * 13 + np.searchsorted(index.terms, words.hashes).tolist())
+    reach = decontaminate._reach(index, at, np.array([0, 13, 26]), np.array([0, 0, 1]))
+    assert reach[0, 0] < 1 and reach[1, 0] == 0 and reach[2, 0] >= 1
+    hits = decontaminate._matches(index, decontaminate.Words(pa.array(["river " * 40, f"x y {item} z"], pa.large_string()), blank=decontaminate.SYMBOLS))
+    assert not hits[0] and [h[0] for h in hits[1]] == [0]

@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ringsight.operators import blocks, hops, neighbours
+from ringsight.operators import blocks, hops, neighbours, samples
 from ringsight.operators.twohop import two_hop
 
 
@@ -60,6 +61,22 @@ def test_blocks_against_brute_force(spark, monkeypatch, parts, chunk):
             assert sums[u] == (sum(xs) if xs else None, sum(r[2] for r in rows))
 
 
+def test_blocks_with_more_cells_than_32_bits_count(spark):
+    n = 50_000  # starts and ends of one block: 2.5 billion cells
+    ids = spark.range(n)
+    to = lambda shift, a, b: ids.select(F.col("id").alias(a), (F.col("id") + shift).alias(b))
+    near = to(2, "u", "w").where("u % 1000 <> 999")
+    left = [999 + 1000 * i for i in range(n // 1000)]
+    first, second = to(1, "u", "v"), ids.select((F.col("id") + 1).alias("v"), (F.col("id") + 2).alias("w"))
+    assert sorted(r.u for r in blocks.block_pairs(first, second, near, parts=1).collect()) == left
+    assert sorted(r.u for r in blocks.block_sums(first, second, None, ["n"], near, 1).collect()) == left
+    stats = samples.sampled_end_stats(first, second, lambda c: F.col(c), 3, ids.selectExpr("id as w", "id as x"), ["x"], near, 1, 1)
+    assert sorted(r.u for r in stats.collect()) == [u for u in left if u + 2 < n]
+    steps = first.toDF("u", "v").unionByName(second.toDF("u", "v")).distinct().unionByName(to(2, "u", "v")).withColumn("x", F.lit(1))
+    found = blocks.block_triangles(steps, 1).select("a", "b", "c").collect()
+    assert sorted(map(tuple, found)) == [(i, i + 1, i + 2) for i in range(n)]
+
+
 def test_pairs_over_two_steps_are_not_shuffled(random_graph):
     graph = random_graph[0]
     steps = graph.edges.select("src", "dst").distinct()

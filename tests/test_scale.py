@@ -77,6 +77,22 @@ def test_blocks_with_more_cells_than_32_bits_count(spark):
     assert sorted(map(tuple, found)) == [(i, i + 1, i + 2) for i in range(n)]
 
 
+def test_steps_are_written_once_for_all_blocks(spark):
+    """Each packed step lies in one shuffle row, and a block is one partition with all rows of its two groups once."""
+    parts = 5
+    rows = spark.range(2000).select(F.col("id").alias("u"), (F.col("id") * 7 % 2000).alias("v"))
+    first = blocks._packed(rows, blocks.FIRST, parts * blocks.TURNS)
+    second = blocks._packed(rows.toDF("v", "w"), blocks.SECOND, parts)
+    crossed = blocks._crossed(first, second, parts)
+    assert "explode" not in crossed._jdf.queryExecution().executedPlan().toString()
+    sizes = crossed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("x_kind").alias("x"), F.count("y_kind").alias("y")).collect()
+    assert len(sizes) == parts * parts
+    assert sum(r.x for r in sizes) == parts * first.count() and sum(r.y for r in sizes) == parts * second.count()
+    for group in (1, 7, 64, 211):
+        keys = spark.createDataFrame([(k,) for k in blocks._partition_keys(group)], "k int").repartition(group, "k")
+        assert [r.k for r in keys.select(F.spark_partition_id().alias("p"), "k").orderBy("p").collect()] == blocks._partition_keys(group)
+
+
 def test_pairs_over_two_steps_are_not_shuffled(random_graph):
     graph = random_graph[0]
     steps = graph.edges.select("src", "dst").distinct()

@@ -93,6 +93,16 @@ def test_steps_are_written_once_for_all_blocks(spark):
         assert [r.k for r in keys.select(F.spark_partition_id().alias("p"), "k").orderBy("p").collect()] == blocks._partition_keys(group)
 
 
+def test_samples_write_second_steps_once(spark):
+    rows = spark.createDataFrame([(i, i * 7 % 50) for i in range(50)], "u long, v long")
+    values = rows.selectExpr("u as w", "u as x")
+    stats = samples.sampled_end_stats(rows, rows.toDF("v", "w"), lambda c: F.col(c), 3, values, ["x"], rows.toDF("u", "w"), 4, 3)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    # The only thing made of a packed row is one row of the product.
+    assert "explode" not in plan and "Generate" not in plan and "CartesianProduct" in plan
+    assert {r.u: r.s0 for r in stats.collect()} == {u: u * 49 % 50 for u in range(50) if u * 49 % 50 != u * 7 % 50}
+
+
 def test_pairs_over_two_steps_are_not_shuffled(random_graph):
     graph = random_graph[0]
     steps = graph.edges.select("src", "dst").distinct()

@@ -42,6 +42,19 @@ def test_adjacency_svd(random_graph):
     np.testing.assert_allclose(np.linalg.norm(got, axis=0), want, rtol=1e-2)
 
 
+def test_largest_rows_put_only_those_around_the_cut_in_order(spark, monkeypatch):
+    rng = np.random.RandomState(9)
+    data = [(i, int(rng.randint(0, 50)), float(v)) for i, v in enumerate(rng.randint(0, 400, 3000) / 8)]
+    frame = spark.createDataFrame(data, "start long, node long, mass double")
+    ordered, whole = sorted(data, key=lambda r: (-r[2], r[0], r[1])), spectral.with_position
+    sizes = []
+    monkeypatch.setattr(spectral, "with_position", lambda rows, *a: sizes.append(rows.count()) or whole(rows, *a))
+    for n in (0, 1, 700, 2999, 3000, 9000):
+        got = spectral._largest(frame, "mass", ["start", "node"], n).collect()
+        assert sorted(map(tuple, got)) == sorted(ordered[:n])
+    assert max(sizes) < 100
+
+
 def test_ppr_without_pruning_is_the_truncated_series(random_graph):
     graph, nodes, edges = random_graph
     a = adjacency(nodes, edges)

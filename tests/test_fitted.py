@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,37 @@ def test_adjacency_svd(random_graph):
     np.testing.assert_allclose(np.linalg.norm(got, axis=0), want, rtol=1e-2)
 
 
+def test_every_product_and_family_is_written_before_the_next(random_graph, monkeypatch):
+    graph, steps = random_graph[0], []
+    noted = lambda name, f: lambda *a, **k: steps.append(name) or f(*a, **k)
+    for module in (spectral, hops):
+        monkeypatch.setattr(module, "cut_lineage", noted("written", module.cut_lineage))
+    monkeypatch.setattr(spectral, "with_propagated", noted("made", spectral.with_propagated))
+    links = spectral.symmetric_links(graph.neighbours())
+    spectral.leading_subspace(links, graph.ids(), 3, 2, 1.0)
+    assert "made made" not in " ".join(steps) and steps.count("made") == 4
+    steps.clear()
+    monkeypatch.setattr(hops, "neighbour_stats", noted("made", hops.neighbour_stats))
+    hops.all_hop_features(graph, 3, names=("directed_1hop_out", "directed_1hop_in"))
+    assert steps.count("made") == 2 and "made made" not in " ".join(steps) and steps[-1] == "written"
+
+
+def test_unused_shuffles_are_dropped(spark, monkeypatch):
+    from ringsight import session
+
+    monkeypatch.setattr(session, "PAUSE", 0.0)
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = shuffles()
+    for i in range(12):
+        session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7 + i).alias("k")).count())
+    session.drop_unused(spark)
+    for _ in range(50):
+        if shuffles() <= before + 2:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before + 2
+
+
 def test_largest_rows_put_only_those_around_the_cut_in_order(spark, monkeypatch):
     rng = np.random.RandomState(9)
     data = [(i, int(rng.randint(0, 50)), float(v)) for i, v in enumerate(rng.randint(0, 400, 3000) / 8)]
